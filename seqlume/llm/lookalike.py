@@ -236,6 +236,7 @@ def spellings(words: DataFrame, budget: int = 0) -> DataFrame:
     forms and no task holds the whole vocabulary.  ``known`` tells whether the
     vocabulary or the table gave the spelling.
     """
+    words = materialise(words, "vocabulary")  # read twice, counted once
     changed = words.where("token != form").select("form").distinct()
     words = words.join(changed, "form", "left_semi").repartition("form").sortWithinPartitions("form", "token")
 
