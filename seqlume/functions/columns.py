@@ -45,7 +45,7 @@ def phred(character: Column) -> Column:
 
 def phred_bin(score: Column) -> Column:
     """Twelve bins of four scores; the last is open."""
-    return F.shiftright(F.least(score, F.lit(47)), 2)
+    return F.shiftright(F.when(score > 47, 47).otherwise(score), 2)
 
 
 def error_rate(score: Column) -> Column:
@@ -64,7 +64,7 @@ def tile(name: Column) -> Column:
 
 def is_illumina(name: Column) -> Column:
     """First word with six colons; a comment, if any, with three colons and Y or N second."""
-    return name.rlike(r"^[^ :]*(?::[^ :]*){6}(?: [^:]*:[YN]:[^:]*:[^:]*)?$")
+    return name.rlike(r"^[^\s:]*(?::[^\s:]*){6}(?:\s+(?:[^:]*:[YN]:[^:]*:[^:]*)?)?$")
 
 
 def is_nanopore(name: Column) -> Column:

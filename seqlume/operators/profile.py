@@ -142,11 +142,17 @@ def labelled(profiled: DataFrame, kind: str, by: list[str]) -> DataFrame:
     return profiled.where(F.col("kind") == kind).select(*by, "pos", F.array(*[F.lit(x) for x in names])[F.col("code")].alias(what), "n")
 
 
+def longest_read(positions: DataFrame) -> int:
+    """The number of positions that occur, 0 for none."""
+    last = positions.agg(F.max("pos")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def binned(profiled: DataFrame, kind: str, by: list[str], longest: int | None = None) -> DataFrame:
     """``by``, ``bin``, ``code``, ``n``: positions brought together for reads up to ``longest``."""
     part = profiled.where(F.col("kind") == kind)
     if longest is None:
-        longest = (part.agg(F.max("pos")).first()[0] or -1) + 1
+        longest = longest_read(part)
     stops = [stop for _, stop in bins_for(longest)] if longest else [1]
     return part.groupBy(*by, bin_index(F.col("pos"), stops).alias("bin"), "code").agg(F.sum("n").alias("n"))
 
@@ -232,7 +238,7 @@ def tile_errors(reads: DataFrame, tile: Column, by: list[str] | None = None) ->
 def tile_deviation(errors: DataFrame, by: list[str], longest: int | None = None) -> DataFrame:
     """Mean score of each tile and bin less the mean over all tiles: ``deviation``."""
     if longest is None:
-        longest = (errors.agg(F.max("pos")).first()[0] or -1) + 1
+        longest = longest_read(errors)
     stops = [stop for _, stop in bins_for(longest)] if longest else [1]
     mean = F.sum("error") / 1e9 / F.greatest(F.sum("n"), F.lit(1))
     summed = errors.groupBy(*by, "tile", bin_index(F.col("pos"), stops).alias("bin")).agg(mean.alias("mean"))

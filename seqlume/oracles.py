@@ -127,7 +127,7 @@ sl AS (SELECT CAST((start - first) // width AS INT) AS slot, count(DISTINCT chan
 sf AS (SELECT CAST(unnest(range(0, (last - first) // width + 1)) AS INT) AS slot, width FROM w WHERE first IS NOT NULL)
 SELECT slot, CAST(slot * width AS BIGINT) AS "from", {", ".join(f"coalesce({c}, 0) AS {c}" for c in ["channels", "bases", "reads", *[f"bin{i}" for i in range(12)]])} FROM sf LEFT JOIN sl USING (slot)"""
 
-_ILLUMINA = "regexp_matches(name, '^[^ :]*(?::[^ :]*){6}(?: [^:]*:[YN]:[^:]*:[^:]*)?$')"
+_ILLUMINA = "regexp_matches(name, '^[^\s:]*(?::[^\s:]*){6}(?:\s+(?:[^:]*:[YN]:[^:]*:[^:]*)?)?$')"
 _NANOPORE = "regexp_matches(name, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\s') AND regexp_matches(name, '\\sch\\S*') AND regexp_matches(name, '\\sst\\S*')"
 
 
