@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from seqlume.functions.columns import ERROR_UNIT, ERRORS
 from seqlume.plans.arrow import group_codes, text_bytes
 from seqlume.plans.bins import bin_index, bins_for
+from seqlume.plans.scratch import spread
 
 END = 100
 BASES = "ACGTN"
@@ -130,7 +131,7 @@ def profile(reads: DataFrame, by: list[str] | None = None, end: int = END) -> Da
                     size = 0
         yield from out()
 
-    source = reads.select(*by, "sequence", usable_scores(F.col("sequence"), F.col("qualities")).alias("qualities"))
+    source = spread(reads.select(*by, "sequence", usable_scores(F.col("sequence"), F.col("qualities")).alias("qualities")))
     names = F.array(*[F.lit(k) for k in ("base", "phred", "end_base", "end_phred")])
     return source.mapInArrow(run, schema).groupBy("kind", *by, "pos", "code").agg(F.sum("n").alias("n")).withColumn("kind", names[F.col("kind")])
 

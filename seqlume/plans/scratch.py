@@ -41,6 +41,19 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer tasks than there are cores, dealt out to all of them.
+
+    For costly Python stages over small files; a table of as many splits as
+    cores, so any large one, is left as it is and not shuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if tasks < cores else df
+
+
 def drop_scratch() -> None:
     """Delete every scratch table written so far (best effort)."""
     while _written:

@@ -34,7 +34,7 @@ def lookup(
     whose ``weight`` (rows expected on the probe side, a column of ``unique``)
     exceeds ``HOT_SHARE`` of the total are spread over ``salts`` copies, so no
     task gets a hot key whole.  At most 1 / HOT_SHARE keys can be hot, which
-    bounds the list that is broadcast.  Without ``weight`` AQE's skew join is
+    bounds the list that is broadcast.  Rows that agree in every column stay together.  Without ``weight`` AQE's skew join is
     relied upon.  ``how`` is inner, left or left_semi.  Null keys match nothing.
     """
     if small(unique, broadcast_rows):
@@ -53,7 +53,7 @@ def lookup(
     ).drop("_hot")
     # Rows with a null key match nothing; they are spread as well.
     loose = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    left = probe.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | loose, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    ).drop("_hot")
+    # The salt follows from the row, so that a task that runs again sends each row to the same place.
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in probe.columns]), F.lit(salts)).cast("int")
+    left = probe.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot") | loose, salt).otherwise(F.lit(0))).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
