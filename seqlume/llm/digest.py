@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlume.llm.grouped import merge_summaries, summarise
+from seqlume.plans.skew import lookup
 
 #: Twice the largest number of centroids of a digest.
 SIZE = 500
@@ -116,9 +117,10 @@ def certified(estimates: DataFrame, rows: DataFrame, value: Column, keys: list[s
     base = base.groupBy(*keys, "_value").agg(F.sum("_w").alias("_w"))
     choice = F.array(*[F.struct(F.lit(",".join(s)).alias("grouping"), *[(F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in keys]) for s in sets])
     spread = base.select(F.explode(choice).alias("_g"), "_value", "_w").groupBy("_g", "_value").agg(F.sum("_w").alias("_w")).select("_g.*", "_value", "_w")
-    e = estimates.select("grouping", *keys, *wanted)
-    on = [spread[k].eqNullSafe(e[k]) for k in ["grouping", *keys]]
-    joined = spread.join(e, on).select(*[e[k] for k in ["grouping", *keys]], *[e[n] for n in wanted], "_value", "_w")
+    # Groups are found by 128 bits of hash, for nulls are values here; the rows of a large group are spread.
+    group = [F.xxhash64("grouping", *keys).alias("_k1"), F.xxhash64(F.lit(5), "grouping", *keys).alias("_k2")]
+    e = estimates.select(*group, *wanted, F.col("total").alias("_rows"))
+    joined = lookup(spread.select("*", *group), e, ["_k1", "_k2"], weight="_rows")
     sums = [F.sum("_w").alias("_total")]
     for n in wanted:
         sums.append(F.sum(F.when(F.col("_value") < F.col(n), F.col("_w")).otherwise(0.0)).alias(f"_lt_{n}"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from seqlume.plans.scratch import spread
+
 #: The split pattern published with the vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same pattern for texts without letter-like numbers and separators 1C-1F,
@@ -210,4 +212,4 @@ def encode(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
+    return spread(documents.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlume.plans.scratch import materialise
+from seqlume.plans.scratch import materialise, spread
 from seqlume.plans.skew import small
 
 #: Letters of other scripts with the shape of a Latin letter.
@@ -225,7 +225,7 @@ def vocabulary(documents: DataFrame, text_col: str = "text") -> DataFrame:
         if counts:
             yield out()
 
-    return documents.select(text_col).mapInArrow(run, "form string, token string, n long").groupBy("form", "token").agg(F.sum("n").alias("n"))
+    return spread(documents.select(text_col)).mapInArrow(run, "form string, token string, n long").groupBy("form", "token").agg(F.sum("n").alias("n"))
 
 
 def spellings(words: DataFrame, budget: int = 0) -> DataFrame:
@@ -299,7 +299,7 @@ def canonical(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(form, pa.string())], names=[id_col, "text", "canonical"])
 
         kind = source.schema[id_col].dataType.simpleString()
-        return source.mapInArrow(run, f"`{id_col}` {kind}, text string, canonical string")
+        return spread(source).mapInArrow(run, f"`{id_col}` {kind}, text string, canonical string")
 
     keyed = source.withColumn("_row", F.xxhash64("text", F.lit(7)))
     texts = keyed.where("text rlike '[^\\\\x00-\\\\x7F]'").select("_row", "text").distinct()
