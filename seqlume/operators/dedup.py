@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlume.functions.hashes import murmur3_64
+from seqlume.operators.reads import scores
 from seqlume.plans.scratch import materialise
 
 MOST_STORED = 1_000_000
@@ -18,15 +20,16 @@ def fingerprint_counts(reads: DataFrame, print_: Column, by: list[str]) -> DataF
     return reads.select(*by, print_.alias("f")).where("f.bases is not null").groupBy(*by, "f.bases", "f.length_class").agg(F.count("*").alias("n"))
 
 
-def subsampled(counts: DataFrame, most: int = MOST_STORED) -> tuple[DataFrame, int]:
+def subsampled(counts: DataFrame, most: int = MOST_STORED, parity: bool = False) -> tuple[DataFrame, int]:
     """Fingerprints whose hash ends in b zero bits, for the smallest b that keeps ``most`` or fewer; and b.
 
     How many hashes end in how many zeros is one small table, so b is found
-    without trying.
+    without trying.  The hash is xxhash64, or with ``parity`` MurmurHash3 seeded
+    with the length class.
     """
     if most < 100:
         raise ValueError("most must be at least 100")
-    hashed = counts.withColumn("_h", F.xxhash64("bases", "length_class"))
+    hashed = counts.withColumn("_h", murmur3_64("bases", F.col("length_class").cast("long")) if parity else F.xxhash64("bases", "length_class"))
     zeros = F.when(F.col("_h") == 0, 64).otherwise(F.bit_count((F.col("_h") - 1).bitwiseAND(F.bitwise_not("_h"))))
     hashed = materialise(hashed.withColumn("_zeros", zeros), "fingerprints")
     rows = {r["_zeros"]: r["count"] for r in hashed.groupBy("_zeros").count().collect()}  # 65 rows at most
@@ -55,3 +58,13 @@ def duplication_buckets(histogram: DataFrame, by: list[str]) -> DataFrame:
     wide = histogram.groupBy(*by).agg(F.sum(reads).alias("total"), *sums)
     rows = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(name).alias("bucket"), F.col(f"b{i}").alias("reads")) for i, name in enumerate(BUCKET_LABELS)])
     return wide.select(*by, "total", F.inline(rows)).select(*by, "slot", "bucket", "reads", F.round(F.col("reads") / F.col("total"), 6).alias("fraction"))
+
+
+def fingerprint_errors(reads: DataFrame, qualities_print: Column, by: list[str]) -> DataFrame:
+    """Reads by the errors expected in their fingerprint, rounded half to even.
+
+    ``qualities_print`` is the fingerprint expression over qualities; reads
+    without usable qualities are left out.
+    """
+    expected = reads.select(*by, scores(qualities_print["bases"])["error"].alias("e"), qualities_print["bases"].alias("q")).where("q is not null")
+    return expected.groupBy(*by, F.bround("e").cast("int").alias("errors")).agg(F.count("*").alias("n"))

@@ -127,7 +127,7 @@ sl AS (SELECT CAST((start - first) // width AS INT) AS slot, count(DISTINCT chan
 sf AS (SELECT CAST(unnest(range(0, (last - first) // width + 1)) AS INT) AS slot, width FROM w WHERE first IS NOT NULL)
 SELECT slot, CAST(slot * width AS BIGINT) AS "from", {", ".join(f"coalesce({c}, 0) AS {c}" for c in ["channels", "bases", "reads", *[f"bin{i}" for i in range(12)]])} FROM sf LEFT JOIN sl USING (slot)"""
 
-_ILLUMINA = "regexp_matches(name, '^[^\s:]*(?::[^\s:]*){6}(?:\s+(?:[^:]*:[YN]:[^:]*:[^:]*)?)?$')"
+_ILLUMINA = "regexp_matches(name, '^[^\\s:]*(?::[^\\s:]*){6}(?:\\s+(?:[^:]*:[YN]:[^:]*:[^:]*)?)?$')"
 _NANOPORE = "regexp_matches(name, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\s') AND regexp_matches(name, '\\sch\\S*') AND regexp_matches(name, '\\sst\\S*')"
 
 
@@ -201,6 +201,11 @@ fi AS (SELECT fragment, count(DISTINCT read_idx) AS n, min(struct_pack(read_idx,
         "duplication_remaining": _FINGERS + ' SELECT mate, CAST(sum(fingerprints) AS BIGINT) AS "unique", CAST(sum(times * fingerprints) AS BIGINT) AS reads, round(sum(fingerprints) / sum(times * fingerprints), 6) AS remaining FROM dh GROUP BY mate',
         "duplication_buckets": _FINGERS + f""", bk AS (SELECT mate, {_SLOT} AS slot, CAST(sum(times * fingerprints) AS BIGINT) AS reads FROM dh GROUP BY ALL), tt AS (SELECT mate, sum(times * fingerprints) AS total FROM dh GROUP BY 1),
 fr AS (SELECT mate, total, slot, bucket FROM tt, (VALUES {_BUCKET_ROWS}) v(slot, bucket)) SELECT mate, slot, bucket, coalesce(reads, 0) AS reads, round(coalesce(reads, 0) / total, 6) AS fraction FROM fr LEFT JOIN bk USING (mate, slot)""",
+        "fingerprint_errors": start + f"""k AS (SELECT mate, q, CAST(length(q) AS INT) AS n FROM r WHERE q IS NOT NULL),
+fq AS (SELECT mate, CASE WHEN n <= 16 THEN q ELSE substr(q, least((n - 16) // 2, 64) + 1, 8) || substr(q, n - (least((n - 16) // 2, 64) + 8) + 1, 8) END AS f FROM k)
+SELECT mate, CAST(round_even(coalesce(list_sum(list_transform(str_split(nullif(f, ''), ''), lambda c: {_E}[ord(c) - 32])), 0) / 1e12::DOUBLE, 0) AS INT) AS errors, count(*) AS n FROM fq GROUP BY ALL""",
+        "exact_duplicates": "WITH c AS (SELECT mate, upper(coalesce(sequence, '')) AS s, count(*) AS n FROM short_reads GROUP BY ALL) SELECT mate, n AS times, count(*) AS fingerprints FROM c GROUP BY ALL",
+        "adapter_presence": f"WITH a AS (SELECT DISTINCT regexp_replace(upper(sequence), '[^ACGT]', 'N', 'g') AS b FROM adapters WHERE length(sequence) > 0), e AS (SELECT b FROM a UNION ALL SELECT {_RC.format('b')} FROM a), p AS (SELECT regexp_replace(upper(sequence), '[^ACGT]', 'N', 'g') AS s FROM prior_sequences WHERE length(sequence) > 0) SELECT b AS adapter, count(*) AS n FROM e, p WHERE contains(s, b) GROUP BY 1",
         "pair_fingerprint_counts": _MATES + " SELECT left(s1, 8) || left(s2, 8) AS bases, CAST((length(s1) + length(s2)) >> 6 AS INT) AS length_class, count(*) AS n FROM mt WHERE read_idx1 IS NOT NULL AND read_idx2 IS NOT NULL AND s1 <> '-' AND s2 <> '-' GROUP BY ALL",
         "mate_join": _MATES + " SELECT run_id, sample, template, read_idx1, read_idx2, CASE WHEN read_idx2 IS NULL THEN 'read 1 only' WHEN read_idx1 IS NULL THEN 'read 2 only' END AS problem FROM mt",
         "mate_zip": """WITH z AS (SELECT read_idx // 2 AS k, min(name) FILTER (WHERE mate = 1) AS a, min(name) FILTER (WHERE mate = 2) AS b, count(*) FILTER (WHERE mate = 1) AS na, count(*) FILTER (WHERE mate = 2) AS nb FROM short_reads GROUP BY 1),

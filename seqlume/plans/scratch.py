@@ -45,12 +45,16 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer tasks than there are cores, dealt out to all of them.
 
     For costly Python stages over small files; a table of as many splits as
-    cores, so any large one, is left as it is and not shuffled.
+    cores, so any large one, is left as it is and not shuffled.  So is what is
+    more than a scan: its exchanges already deal it out.
     """
     if df.isStreaming:
         return df
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Adaptive" in plan.getClass().getSimpleName():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    tasks = plan.execute().getNumPartitions()
     return df.repartition(cores) if tasks < cores else df
 
 

@@ -258,6 +258,37 @@ def fingerprint_subsample(spark: SparkSession, sf: str) -> DataFrame:
     return kept.withColumn("bits", F.lit(bits))
 
 
+def fingerprint_subsample_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """A-26 by the public hash of the bases, seeded with the length class."""
+    kept, bits = dedup.subsampled(_fingerprints(spark, sf), 1_000, parity=True)
+    return kept.withColumn("bits", F.lit(bits))
+
+
+def fingerprint_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads by the errors to expect in their fingerprint."""
+    usable = profile.usable_scores(F.col("sequence"), F.col("qualities"))
+    return dedup.fingerprint_errors(_short(spark, sf), C.fingerprint(usable, back_offset=64), BY)
+
+
+def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole sequences by how often they occur."""
+    whole = F.struct(F.coalesce(F.upper("sequence"), F.lit("")).alias("bases"), F.lit(0).alias("length_class"))
+    return dedup.duplication_histogram(dedup.fingerprint_counts(_short(spark, sf), whole, BY), BY)
+
+
+def mean_phred_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """A-8 with sums in four lanes (P-5)."""
+    return reads.phred_histogram(reads.facts(_short(spark, sf), BY, parity=True), BY)
+
+
+def adapter_presence(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of earlier runs that hold each adapter, on either strand."""
+    prior = load(spark, sf, "prior_sequences").select(C.norm(F.col("sequence")).alias("sequence"))
+    own = A.listed(load(spark, sf, "adapters"))
+    both = [(n, b, p) for n, b, p in own] + [(n, b[::-1].translate(str.maketrans("ACGT", "TGCA")), p) for n, b, p in own]
+    return A.hits(prior, both, []).groupBy("adapter").agg(F.count("*").alias("n"))
+
+
 def duplication_hist(spark: SparkSession, sf: str) -> DataFrame:
     """A-27: fingerprints by how often they occur."""
     return dedup.duplication_histogram(_fingerprints(spark, sf), BY)
@@ -394,7 +425,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         base_counts, phred_counts, end_base_counts, end_phred_counts, front_base_counts, long_base_counts, gc_hist, gc_smooth, mean_phred_hist, q_thresholds, summary, summary_cube,
         length_dist, length_percentiles, n50_n90, quality_fractions, end_quality_fractions, quality_percentiles, long_quality_percentiles, base_content, n_content,
         adapter_hits, adapter_hits_long, adapter_curve, adapter_curve_front, adapter_curve_end, tile_errors, tile_deviation, tile_flags, tile_skip,
-        fragment_counts, fragment_totals, fragment_first_come, overrepresented, fingerprint_counts, pair_fingerprint_counts, fingerprint_subsample, duplication_hist, duplication_remaining, duplication_buckets,
+        fragment_counts, fragment_totals, fragment_first_come, overrepresented, fingerprint_counts, pair_fingerprint_counts, fingerprint_subsample, fingerprint_subsample_parity, fingerprint_errors, exact_duplicates, mean_phred_parity, adapter_presence, duplication_hist, duplication_remaining, duplication_buckets,
         mate_join, mate_zip, insert_sizes, overlap_adapters, top_adapter_per_length, nano_slots, nano_channels, translocation, split_reads, nano_skip, tech_sniff, canonical_kmers, kmer_match, seq_identity, header_fields,
         p3_found, p3_loaded,
     )}

@@ -6,10 +6,15 @@ a whole run, and in windows of event time with a watermark for late reads.
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlume.operators import profile, reads
+from seqlume.sources import fastq
 
 READS = "read_idx long, run_id string, sample string, mate int, name string, sequence string, qualities string, tags binary, seen_at timestamp, loaded_at timestamp"
 
@@ -19,6 +24,25 @@ def read_stream(spark: SparkSession, folder: str, files_per_batch: int = 16, sch
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def fastq_stream(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
+    """Reads of FASTQ files, plain or gzip, that arrive in a folder: ``path``, ``row``, ``name``, ``sequence``, ``qualities``.
+
+    A file is one value, so files are to be of moderate size.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).load(folder).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                names, sequences, qualities, used = fastq.parse(data)
+                if used < len(data):
+                    raise EOFError(f"Incomplete record at the end of file {path}")
+                yield fastq.to_batch(path, 0, 0, names, sequences, qualities).drop_columns(["split", "tags"])
+
+    return files.mapInArrow(run, "path string, row long, name string, sequence string, qualities string")
+
+
 def running_profile(stream: DataFrame, by: list[str]) -> DataFrame:
     """Counts of bases and scores by position so far; write with outputMode complete or update.
 

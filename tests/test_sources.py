@@ -96,6 +96,41 @@ def test_read_bam(spark, tmp_path):
     assert small.technology(str(path)) == "nanopore" and small.is_bam(str(path))
 
 
+def blocks_of(content, size):
+    """Content as compressed blocks, the way BAM files are written, with the empty block at the end."""
+    import zlib
+
+    out = b""
+    for start in [*range(0, len(content), size), None]:
+        part = b"" if start is None else content[start : start + size]
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(part) + packer.flush()
+        out += b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+@pytest.mark.parametrize("block", [50, 333, 5000, 60_000])
+@pytest.mark.parametrize("split", [40, 700, 5000, 10**6])
+def test_every_bam_split_has_each_record_once(tmp_path, block, split):
+    rnd = random.Random(block)
+    rows = []
+    for i in range(150):
+        size = rnd.choice([0, 1, 30, 151, 900])
+        rows.append((f"read{i}", "".join(rnd.choice("ACGTN") for _ in range(size)), "".join(chr(rnd.randint(33, 126)) for _ in range(size)), TAGS if i % 2 else b"", 4 if i % 7 else 256))
+    path = tmp_path / "x.bam"
+    path.write_bytes(blocks_of(bam_bytes(rows, refs=tuple((f"chr{i}", 1000) for i in range(30))), block))
+    got = [r[0].decode() for s in bam.plan(str(path), split) for r in bam.split_records(s)]
+    assert got == [r[0] for r in rows if r[4] == 4]
+
+
+def test_read_split_bam(spark, tmp_path):
+    rows = [(f"r{i}", "ACGT" * (i % 50), "I" * (4 * (i % 50)), b"", 4) for i in range(2000)]
+    (tmp_path / "x.bam").write_bytes(blocks_of(bam_bytes(rows), 4000))
+    got = bam.read_bam(spark, str(tmp_path / "x.bam"), 2000).orderBy("read_idx").collect()
+    assert [(r.read_idx, r["name"], r["sequence"]) for r in got] == [(i, n, s) for i, (n, s, _, _, _) in enumerate(rows)]
+    assert small.technology(str(tmp_path / "x.bam")) == "nanopore"
+
+
 def test_truncated_bam(tmp_path):
     import io
 
