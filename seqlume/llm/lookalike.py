@@ -106,11 +106,41 @@ _TOKEN = re.compile(f"(?:{_LETTER}|{_MARK})+")
 _FOREIGN = re.compile(f"(?<![0-9A-Za-z])[0-9A-Za-z]*+(?![\\x00-\\x7f])(?:{_LETTER}|{_MARK})+")
 
 
+def _fold(piece: str, table: dict[int, str]) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", piece).translate(table))
+
+
+class _Folds(dict):
+    """Folded pieces by piece; emptied when full, and long pieces are not kept."""
+
+    def __init__(self, table: dict[int, str]):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, piece: str) -> str:
+        to = _fold(piece, self.table)
+        if len(piece) <= 40:
+            if len(self) >= 200_000:
+                self.clear()
+            self[piece] = to
+        return to
+
+    def apply(self, text: str) -> str:
+        """The text with each run beyond ASCII folded, with the character before it.
+
+        Marks combine with that character at most, and characters of ASCII never
+        with what precedes them, so this equals folding the text as a whole.
+        """
+        return _RUN.sub(lambda run: self[run.group()], text)
+
+
+_RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
+_BY_TABLE, _BY_BETWEEN = _Folds(TABLE), _Folds(_BETWEEN)
+
+
 def by_table(text: str) -> str:
     """The form of ``text`` by the table alone; equal for texts that look the same."""
-    if text.isascii():
-        return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(TABLE))
+    return text if text.isascii() else _BY_TABLE.apply(text)
 
 
 class Trie:
@@ -271,7 +301,7 @@ def rewrite(text: str, spelling: dict[str, str]) -> str:
         found = spelling.get(token)
         return by_table(token) if found is None else found
 
-    return unicodedata.normalize("NFC", _FOREIGN.sub(one, text).translate(_BETWEEN))
+    return _BY_BETWEEN.apply(_FOREIGN.sub(one, text))
 
 
 def canonical(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_tokens: int = 400_000, budget: int = 0) -> DataFrame:
@@ -320,7 +350,7 @@ def canonical(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def visible(col) -> "F.Column":  # noqa: ANN001
     """Whether a canonical text has anything to see."""
-    return F.coalesce(F.length(F.trim(F.regexp_replace(col, r"\s", ""))) > 0, F.lit(False))
+    return F.coalesce(col.rlike(r"\S"), F.lit(False))
 
 
 def same_look(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:  # noqa: ANN003

@@ -31,6 +31,15 @@ def test_table_is_idempotent():
         assert lookalike.by_table(once) == once and unicodedata.is_normalized("NFC", once)
 
 
+def test_folding_by_runs_equals_folding_whole():
+    rnd = random.Random(3)
+    letters = [*"ae o-\n", *lookalike.LOOK_ALIKE, "\u0301", "\u0308", "\u0323", "\u200b", "\u034f", "\u0338", "=", "é", "ё", "ﬁ", "Ａ", "\u1100", "\u1161", "\u11a8", "中", "\u00a0"]
+    for _ in range(20_000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 12)))
+        assert lookalike.by_table(text) == lookalike._fold(text, lookalike.TABLE)
+        assert lookalike.rewrite(text, {}) == lookalike._fold(text, lookalike.TABLE)
+
+
 def test_trie_walks_look_alikes_for_free():
     trie = lookalike.Trie({"paypal": 5, "снег": 3, "office": 2, "café": 1, "cafe": 9})
     assert trie.search("раураl") == [(0, "paypal", 5)] and trie.search("oﬃce") == [(0, "office", 2)] and trie.search("pay​pal") == [(0, "paypal", 5)]
