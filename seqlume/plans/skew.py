@@ -4,19 +4,33 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows below which a unique side is small enough to broadcast: a row of a few
-#: longs and one short string stays under about 100 bytes, so 50 MB at most.
-BROADCAST_ROWS = 500_000
+#: What is broadcast at most: a row takes some 200 bytes beside its texts, so
+#: about 80 MB in memory.
+BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 32_000_000
 #: A key with more rows than this share of the probe side is treated as hot.
 HOT_SHARE = 0.002
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows (reads no more than needed)."""
-    return df.limit(limit + 1).count() <= limit
+def _text_size(df: DataFrame) -> Column:
+    """Bytes of a row's texts and nested values."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{field.name}`")))), F.lit(0))
+    return size
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows and ``size`` bytes of text (counts no further than needed)."""
+    found = df.limit(limit + 1).agg(F.count("*").alias("rows"), F.sum(_text_size(df)).alias("bytes")).first()
+    return found.rows <= limit and (found.bytes or 0) <= size
 
 
 def lookup(

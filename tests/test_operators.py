@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlume.operators import adapters as A
 from seqlume.operators import dedup, fragments, identify, nano, pairs, profile, reads
-from seqlume.plans.skew import lookup
+from seqlume.plans.skew import lookup, small
 
 SCHEMA = "read_idx long, name string, sequence string, qualities string"
 
@@ -232,3 +232,9 @@ def test_lookup_spreads_hot_keys(spark):
         assert wide.count() == narrow.count() and sorted(wide.columns) == sorted(narrow.columns)
         assert sorted(map(str, wide.select(*sorted(wide.columns)).collect())) == sorted(map(str, narrow.select(*sorted(narrow.columns)).collect()))
         assert abs(wide.count() - rows) <= 1
+
+
+def test_small_counts_rows_and_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000, ["y" * 10], None)] * 10, "a string, b array<string>, c struct<d: int>")
+    assert small(df) and small(df, 10) and not small(df, 9) and not small(df, 10, 9_000) and small(df, 10, 20_000)
+    assert small(df.where("false"), 0)
