@@ -57,19 +57,27 @@ def merge(group: np.ndarray, items: dict[str, np.ndarray], size: int = SIZE) ->
     return group[start], {"means": means, "weights": weights, "mixed": mixed}
 
 
-def quantile(means: np.ndarray, weights: np.ndarray, mixed: np.ndarray, q: float) -> float:
+def quantile(means: np.ndarray, weights: np.ndarray, mixed: np.ndarray, q: float, reach: bool = False) -> float:
     """The value at rank ``q``: that of the centroid there if it stands for one
-    value, else interpolated between the middles of centroids."""
+    value, else interpolated between the middles of centroids.
+
+    The rank is that of the first value up to which more than a share ``q`` lies
+    or, with ``reach``, floor(q * total) at least, as N50 has it.
+    """
     ends = np.cumsum(weights)
-    target = q * ends[-1]
-    at = min(int(np.searchsorted(ends, target, "right")), len(ends) - 1)
+    target = math.floor(q * ends[-1]) if reach else q * ends[-1]
+    at = min(int(np.searchsorted(ends, target, "left" if reach else "right")), len(ends) - 1)
     if not mixed[at]:
         return float(means[at])
     return float(np.interp(target, ends - weights / 2, means))
 
 
 def digests(rows: DataFrame, value: Column, keys: list[str], sets: list[list[str]], weight: Column | None = None) -> DataFrame:
-    """Mergeable digests of ``value`` for each group; nulls, NaN and weights of 0 are left out."""
+    """Mergeable digests of ``value`` for each group; nulls, NaN and weights of 0 are left out.
+
+    Null keys are a group like others, repeated rows count each, and a group
+    without values, so also an empty table, has no row.
+    """
     chosen = rows.select(*keys, value.cast("double").alias("_value"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("_weight"))
     chosen = chosen.where("_value is not null and not isnan(_value) and _weight > 0")
 
@@ -84,10 +92,10 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     return merge_summaries(parts, keys, FIELDS, merge)
 
 
-def percentiles(parts: DataFrame, wanted: dict[str, float], whole: bool = False) -> DataFrame:
+def percentiles(parts: DataFrame, wanted: dict[str, float], whole: bool = False, reach: bool = False) -> DataFrame:
     """``parts`` with a column for each wanted quantile and ``total`` weight.
 
-    ``whole`` rounds, for columns of whole numbers.
+    ``whole`` rounds, for columns of whole numbers; ``reach`` is that of ``quantile``.
     """
     names = list(wanted)
 
@@ -97,14 +105,14 @@ def percentiles(parts: DataFrame, wanted: dict[str, float], whole: bool = False)
 
         rows = []
         for m, w, x in zip(means, weights, mixed, strict=True):
-            found = [quantile(m, w, x, q) for q in wanted.values()]
+            found = [quantile(m, w, x, q, reach) for q in wanted.values()]
             rows.append([float(round(v)) if whole else v for v in found] + [float(np.sum(w))])
         return pd.DataFrame(rows, columns=[*names, "total"])
 
     return parts.withColumn("_q", evaluate("means", "weights", "mixed")).select("*", "_q.*").drop("_q", *FIELDS)
 
 
-def certified(estimates: DataFrame, rows: DataFrame, value: Column, keys: list[str], sets: list[list[str]], wanted: dict[str, float], weight: Column | None = None) -> DataFrame:
+def certified(estimates: DataFrame, rows: DataFrame, value: Column, keys: list[str], sets: list[list[str]], wanted: dict[str, float], weight: Column | None = None, reach: bool = False) -> DataFrame:
     """``estimates`` with ``<name>_rank_error``: the measured rank error of each estimate.
 
     Counts equal values before anything shuffles, then how much lies below and
@@ -129,6 +137,7 @@ def certified(estimates: DataFrame, rows: DataFrame, value: Column, keys: list[s
     errors = []
     for n, q in wanted.items():
         target = F.floor(F.col("_total") * q)
-        far = F.greatest(F.lit(0.0), F.col(f"_lt_{n}") - target, target + 1 - F.col(f"_le_{n}"))
+        after = 1 if reach else 0  # with ``reach`` a value's ranks are (below, up to it], else [below, up to it)
+        far = F.greatest(F.lit(0.0), F.col(f"_lt_{n}") + after - target, target + 1 - after - F.col(f"_le_{n}"))
         errors.append((far / F.col("_total")).alias(f"{n}_rank_error"))
     return counted.select("grouping", *keys, *wanted, F.col("_total").alias("total"), *errors)

@@ -106,7 +106,11 @@ def estimates(group: np.ndarray, states: np.ndarray, groups: int, precision: int
 
 
 def sketches(rows: DataFrame, value: Column, keys: list[str], sets: list[list[str]], precision: int = PRECISION) -> DataFrame:
-    """Mergeable sketches of ``value`` for each group; null values are not counted."""
+    """Mergeable sketches of ``value`` for each group.
+
+    Null values are not counted, an empty text is a value, null keys are a group
+    like others; a group without values, so also an empty table, has no row.
+    """
     hashed = rows.where(value.isNotNull()).select(*keys, F.xxhash64(value).alias("_hash"))
     return summarise(hashed, keys, sets, ["_hash"], FIELDS, lambda h: lift(h, precision), merge)
 

@@ -307,7 +307,7 @@ def rewrite(text: str, spelling: dict[str, str]) -> str:
 def canonical(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_tokens: int = 400_000, budget: int = 0) -> DataFrame:
     """``id_col``, ``text`` (the input) and ``canonical`` for every row.
 
-    Null stays null and an empty text empty.  Texts are equal in ``canonical``
+    Null stays null and an empty text empty; null and repeated ids are kept.  Texts are equal in ``canonical``
     exactly if they look the same (with ``budget`` 0).  The dictionary of
     changed spellings is broadcast if it has at most ``broadcast_tokens``
     entries; beyond that each text is joined with the spellings of its own
@@ -358,7 +358,8 @@ def same_look(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are compared by 128-bit digests of the canonical and the given form;
     what shuffles is a few longs a row.  Only groups with two or more different
-    texts are paired, and never two exact copies of each other.
+    texts are paired, and never two exact copies of each other.  Null ids, null texts
+    and texts with nothing to see are in no pair; a repeated id gives a pair once.
     """
     forms = canonical(documents, id_col, text_col, **options)
     marks = forms.where(visible(F.col("canonical"))).where(F.col(id_col).isNotNull()).select(

@@ -80,8 +80,9 @@ def _lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _percentiles(rows: DataFrame, keys: list[str], sets: list[list[str]], wanted: dict[str, float], weight: Column | None = None) -> DataFrame:
-    found = digest.percentiles(digest.digests(rows, F.col("value"), keys, sets, weight), wanted, whole=True)
-    return digest.certified(materialise(found, "percentiles"), rows, F.col("value"), keys, sets, wanted, weight)
+    reach = weight is not None
+    found = digest.percentiles(digest.digests(rows, F.col("value"), keys, sets, weight), wanted, whole=True, reach=reach)
+    return digest.certified(materialise(found, "percentiles"), rows, F.col("value"), keys, sets, wanted, weight, reach)
 
 
 def p4_lengths(spark: SparkSession, sf: str) -> DataFrame:

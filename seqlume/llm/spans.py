@@ -174,7 +174,10 @@ def matches(records: DataFrame, id_col: str = "record", seq_col: str = "sequence
     Each window whose bases another record has is linked to the first such
     window, or for windows of that first record to the last.  So links are as
     many as shared windows, however many records share them.  Records are told
-    apart by ``id_col``; rows that repeat an id are one record.
+    apart by ``id_col``; rows that repeat an id are one record, and what it shares
+    with itself does not count.  Rows without an id, without a sequence or with
+    one shorter than a window, and windows with anything but A, C, G and T (in
+    either case) have no links; an empty table has none.
     """
     all_seeds = seeds(records, id_col, seq_col)
     shared = all_seeds.groupBy("seed").agg(F.min("record").alias("lo"), F.max("record").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("seed", "rows")

@@ -59,6 +59,19 @@ def test_weights(spark):
     assert found.n50 == 30 and found.total == 60
 
 
+@pytest.mark.parametrize("sizes", [[10, 10, 20], [10, 30], [5], [7, 7], [1, 2, 3, 4, 100], list(range(1, 60)), [150] * 40 + [51] * 3])
+def test_n50_follows_its_rule(spark, sizes):
+    so_far, want = 0, None
+    for n in sorted(sizes):
+        so_far += n
+        if want is None and so_far >= sum(sizes) // 2:
+            want = n
+    df = spark.createDataFrame([(n,) for n in sizes], "v int")
+    found = digest.percentiles(digest.digests(df, F.col("v"), [], [[]], F.col("v")), {"n50": 0.5}, whole=True, reach=True)
+    row = digest.certified(found, df, F.col("v"), [], [[]], {"n50": 0.5}, F.col("v"), True).first()
+    assert row.n50 == want and row.n50_rank_error == 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert digest.percentiles(digest.digests(df, F.col("v"), ["g"], [["g"], []]), {"m": 0.5}).count() == 0
