@@ -97,6 +97,8 @@ fl AS (SELECT mate, read_idx, list_transform(raw, lambda x: least(x, {_RC.format
 fc AS (SELECT mate, fragment, count(*) AS n FROM (SELECT mate, unnest(list_distinct(fr)) AS fragment FROM fl) GROUP BY ALL),
 ft AS (SELECT mate, count(*) AS sampled, CAST(sum(len(fr)) AS BIGINT) AS total_fragments FROM fl GROUP BY ALL),
 ov AS (SELECT mate, fragment, n, round(n / sampled, 6) AS fraction FROM fc JOIN ft USING (mate) WHERE n >= greatest(5, ceil(sampled * 0.001::DOUBLE)))"""
+# The same with every 8th read of each mate.
+_MATE_FRAGMENTS = _FRAGMENTS.replace("WHERE read_idx % 8 = 0", "QUALIFY (row_number() OVER (PARTITION BY mate ORDER BY read_idx) - 1) % 8 = 0")
 
 _FINGERS = """WITH u AS (SELECT mate, coalesce(upper(sequence), '') AS s, CAST(length(coalesce(sequence, '')) AS INT) AS n FROM short_reads),
 fp AS (SELECT mate, CASE WHEN n <= 16 THEN s ELSE substr(s, least((n - 16) // 2, 64) + 1, 8) || substr(s, n - 7, 8) END AS bases, CASE WHEN n <= 16 THEN 0 ELSE n >> 6 END AS length_class FROM u),
@@ -196,6 +198,9 @@ def oracle_sql() -> dict[str, str]:
         "fragment_counts": _FRAGMENTS + " SELECT * FROM fc", "fragment_totals": _FRAGMENTS + " SELECT * FROM ft", "overrepresented": _FRAGMENTS + " SELECT * FROM ov",
         "fragment_first_come": _FRAGMENTS + """, pl AS (SELECT read_idx, fragment, n AS place FROM (SELECT read_idx, fr, unnest(fr) AS fragment, generate_subscripts(fr, 1) AS n FROM fl)),
 fi AS (SELECT fragment, count(DISTINCT read_idx) AS n, min(struct_pack(read_idx, place)) AS first FROM pl GROUP BY 1) SELECT fragment, n FROM fi ORDER BY first LIMIT 5000""",
+        "mate_fragment_counts": _MATE_FRAGMENTS + " SELECT * FROM fc", "mate_fragment_totals": _MATE_FRAGMENTS + " SELECT * FROM ft", "mate_overrepresented": _MATE_FRAGMENTS + " SELECT * FROM ov",
+        "mate_fragment_first_come": _MATE_FRAGMENTS + """, pl AS (SELECT mate, read_idx, fragment, n AS place FROM (SELECT mate, read_idx, fr, unnest(fr) AS fragment, generate_subscripts(fr, 1) AS n FROM fl)),
+fi AS (SELECT mate, fragment, count(DISTINCT read_idx) AS n, min(struct_pack(read_idx, place)) AS first FROM pl GROUP BY 1, 2) SELECT mate, fragment, n FROM fi QUALIFY row_number() OVER (PARTITION BY mate ORDER BY first) <= 5000000""",
         "fingerprint_counts": _FINGERS + " SELECT * FROM fc",
         "duplication_hist": _FINGERS + " SELECT * FROM dh",
         "duplication_remaining": _FINGERS + ' SELECT mate, CAST(sum(fingerprints) AS BIGINT) AS "unique", CAST(sum(times * fingerprints) AS BIGINT) AS reads, round(sum(fingerprints) / sum(times * fingerprints), 6) AS remaining FROM dh GROUP BY mate',
@@ -221,6 +226,7 @@ SELECT CASE WHEN nb = 0 THEN 'read 1 only' WHEN na = 0 THEN 'read 2 only' WHEN N
         "nano_skip": f"WITH {_LONG} SELECT arg_min(name, read_idx) AS name, min(read_idx) AS read_idx, count(*) AS n FROM r WHERE ({_CHANNEL}) IS NULL OR ({_TIME}) IS NULL",
         "tech_sniff": f"WITH {_LONG}, bt AS (SELECT 'short' AS \"table\", name FROM short_reads UNION ALL SELECT 'long', name FROM r) SELECT \"table\", CASE WHEN {_ILLUMINA} THEN 'illumina' WHEN {_NANOPORE} THEN 'nanopore' ELSE 'unknown' END AS technology, count(*) AS n FROM bt WHERE name IS NOT NULL GROUP BY ALL",
         "canonical_kmers": _kmers("adapters", "adapter_id", "sequence"),
+        "mate_kmer_match": _MATE_FRAGMENTS + f", qk AS ({_kmers('(SELECT DISTINCT fragment FROM ov)', 'fragment', 'fragment')}), tk AS ({_kmers('(SELECT concat_ws(chr(32), trim(name), adapter_id) AS name, sequence FROM adapters)', 'name', 'sequence')}) SELECT fragment AS query, name, count(*) AS n FROM qk JOIN tk USING (kmer) GROUP BY ALL",
         "kmer_match": _FRAGMENTS + f", qk AS ({_kmers('(SELECT DISTINCT fragment FROM ov)', 'fragment', 'fragment')}), tk AS ({_kmers('(SELECT concat_ws(chr(32), trim(name), adapter_id) AS name, sequence FROM adapters)', 'name', 'sequence')}) SELECT fragment AS query, name, count(*) AS n FROM qk JOIN tk USING (kmer) GROUP BY ALL",
         "header_fields": f"WITH {_LONG}, u AS (SELECT read_idx, name, regexp_extract(name, '^[^ \\t]*') AS id FROM r) SELECT read_idx, {_CHANNEL} AS channel, CAST(floor({_TIME}) AS BIGINT) AS start, id, CASE WHEN {_UUID.format('id')} THEN CAST(CAST('0x' || left(id, 8) || substr(id, 29, 8) AS UBIGINT) AS VARCHAR) ELSE '0' END AS number FROM u",
         "p3_found": _lines("SELECT row_id, reason FROM z WHERE reason IS NOT NULL"),

@@ -237,6 +237,31 @@ def overrepresented(spark: SparkSession, sf: str) -> DataFrame:
     return fragments.overrepresented(fragments.fragment_counts(lists, BY), fragments.fragment_totals(lists, BY), BY, FRACTION, LEAST)
 
 
+def _mate_fragment_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return fragments.fragment_lists(fragments.sampled(_short(spark, sf), by=BY), BY)
+
+
+def mate_fragment_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A-24 with every 8th read of each mate: reads by fragment."""
+    return fragments.fragment_counts(_mate_fragment_lists(spark, sf), BY)
+
+
+def mate_fragment_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """A-24 with every 8th read of each mate: sampled reads and all their fragments."""
+    return fragments.fragment_totals(_mate_fragment_lists(spark, sf), BY)
+
+
+def mate_fragment_first_come(spark: SparkSession, sf: str) -> DataFrame:
+    """O-7 with every 8th read of each mate: fragment counts of a store of the usual size for each mate, first come."""
+    return fragments.first_come(fragments.sampled(_short(spark, sf), by=BY), by=BY)
+
+
+def mate_overrepresented(spark: SparkSession, sf: str) -> DataFrame:
+    """A-25 with every 8th read of each mate: fragments in more reads than the threshold."""
+    lists = _mate_fragment_lists(spark, sf)
+    return fragments.overrepresented(fragments.fragment_counts(lists, BY), fragments.fragment_totals(lists, BY), BY, FRACTION, LEAST)
+
+
 def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.fingerprint_counts(_short(spark, sf), C.fingerprint(F.coalesce(F.upper("sequence"), F.lit(""))), BY)
 
@@ -397,9 +422,18 @@ def kmer_match(spark: SparkSession, sf: str) -> DataFrame:
     return identify.kmer_matches(_frequent(spark, sf), _library(spark, sf))
 
 
+def _mate_frequent(spark: SparkSession, sf: str) -> DataFrame:
+    return mate_overrepresented(spark, sf).select(F.col("fragment").alias("query")).distinct()
+
+
+def mate_kmer_match(spark: SparkSession, sf: str) -> DataFrame:
+    """J-5, A-37 with every 8th read of each mate: adapters that share k-mers with overrepresented fragments."""
+    return identify.kmer_matches(_mate_frequent(spark, sf), _library(spark, sf))
+
+
 def seq_identity(spark: SparkSession, sf: str) -> DataFrame:
-    """J-6: what overrepresented fragments are."""
-    return identify.identified(_frequent(spark, sf), _library(spark, sf))
+    """J-6: what overrepresented fragments of either mate are."""
+    return identify.identified(_mate_frequent(spark, sf), _library(spark, sf))
 
 
 def header_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -425,6 +459,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         base_counts, phred_counts, end_base_counts, end_phred_counts, front_base_counts, long_base_counts, gc_hist, gc_smooth, mean_phred_hist, q_thresholds, summary, summary_cube,
         length_dist, length_percentiles, n50_n90, quality_fractions, end_quality_fractions, quality_percentiles, long_quality_percentiles, base_content, n_content,
         adapter_hits, adapter_hits_long, adapter_curve, adapter_curve_front, adapter_curve_end, tile_errors, tile_deviation, tile_flags, tile_skip,
+        mate_fragment_counts, mate_fragment_totals, mate_fragment_first_come, mate_overrepresented, mate_kmer_match,
         fragment_counts, fragment_totals, fragment_first_come, overrepresented, fingerprint_counts, pair_fingerprint_counts, fingerprint_subsample, fingerprint_subsample_parity, fingerprint_errors, exact_duplicates, mean_phred_parity, adapter_presence, duplication_hist, duplication_remaining, duplication_buckets,
         mate_join, mate_zip, insert_sizes, overlap_adapters, top_adapter_per_length, nano_slots, nano_channels, translocation, split_reads, nano_skip, tech_sniff, canonical_kmers, kmer_match, seq_identity, header_fields,
         p3_found, p3_loaded,

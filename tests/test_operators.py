@@ -136,6 +136,20 @@ def test_sampling(spark, every):
     assert fragments.sampled(spark.range(1000).withColumnRenamed("id", "read_idx"), every).count() == math.ceil(1000 / every)
 
 
+def test_sampling_of_each_mate(spark, monkeypatch):
+    monkeypatch.setattr(fragments, "RANGE", 37)
+    rows = [(i, 1 + i % 2) for i in range(1000) if i % 7] + [(None, 1)]
+    df = spark.createDataFrame(rows, "read_idx long, mate int")
+    got = {(r.read_idx, r.mate) for r in fragments.sampled(df, 8, by=["mate"]).collect()}
+    assert got == {x for m in (1, 2) for x in sorted(r for r in rows if r[0] is not None and r[1] == m)[::8]}
+
+
+def test_first_come_of_each_mate(spark):
+    rows = [(i, 1 + i % 2, ("A" if i < 2 else "C") * 21) for i in range(6)]
+    df = spark.createDataFrame(rows, "read_idx long, mate int, sequence string")
+    assert {tuple(r) for r in fragments.first_come(df, 1, by=["mate"]).collect()} == {(1, "A" * 21, 1), (2, "A" * 21, 1)}
+
+
 def test_subsample_keeps_the_smallest_number_of_bits(spark):
     counts = spark.range(10_000).select(F.col("id").cast("string").alias("bases"), F.lit(0).alias("length_class"), F.lit(1).alias("n"))
     kept, bits = dedup.subsampled(counts, 179)
