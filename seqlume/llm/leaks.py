@@ -196,23 +196,27 @@ def verbatim(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", it
     return left.join(right, ["template", "slots", "words"]).select(doc_col, item_col).distinct()
 
 
-def reparameterised(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", size: int = WINDOW, least_shared: int = 5) -> DataFrame:
+def reparameterised(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", size: int = WINDOW, least_shared: int = 5, every: bool = False) -> DataFrame:
     """Documents with an item's template but other parameters.
 
-    One row for each document and template, named by the smallest item that has
-    the template: ``doc_col``, ``item_col``, ``windows``, ``example``.  The slots
-    of passage and item correspond one to one, and at least ``least_shared``
-    of a window's words are the template's own.  Null ids and texts have no row
-    as items; documents are reported under each of their ids.
+    ``doc_col``, ``item_col``, ``windows``, ``example``: with ``every`` a row for
+    each item the document re-parameterises, else each window counts under the
+    smallest of them.  The slots of passage and item correspond one to one, and
+    at least ``least_shared`` of a window's words are the same; every wording of
+    a template is tested.  Passages that some item has verbatim are left out.
+    Null ids and texts have no row as items; documents are reported under each
+    of their ids.
     """
     hits, own = candidates(documents, items, doc_col, item_col, text_col, size)
-    first = own.where(F.col(item_col).isNotNull()).groupBy("template").agg(F.min(F.struct(item_col, "words")).alias("item"), F.collect_set(F.xxhash64("words")).alias("slots"))
-    pairs = hits.join(F.broadcast(first) if small(first, 100_000) else first, "template")
-    zipped = F.arrays_zip(F.col("words"), F.col("item.words").alias("others"))
-    same = F.size(F.filter(zipped, lambda x: x["words"] == x["others"]))
-    one_to_one = (F.size(F.array_distinct(zipped)) == F.size(F.array_distinct("words"))) & (F.size(F.array_distinct(zipped)) == F.size(F.array_distinct("item.words")))
-    return (
-        pairs.where(~F.array_contains("slots", F.xxhash64("words")) & one_to_one & (same >= least_shared))
-        .groupBy(doc_col, F.col(f"item.{item_col}").alias(item_col))
-        .agg(F.count_distinct("template").alias("windows"), F.min(F.array_join("words", " ")).alias("example"))
-    )
+    # Words correspond one to one exactly if equal words stand in the same places.
+    pattern = F.array_join(F.transform("words", lambda w: F.array_position("words", w)), " ").alias("pattern")
+    known = own.where(F.col(item_col).isNotNull()).select(item_col, "template", "words").distinct()
+    wordings = known.select("template", "words").distinct()
+    asked = materialise(hits.select("template", "words").distinct().join(wordings, ["template", "words"], "left_anti").select("template", "words", pattern), "asked")
+    other = wordings.select("template", pattern, F.col("words").alias("others"))
+    other = F.broadcast(other) if small(other, 100_000) else other
+    same = F.size(F.filter(F.arrays_zip("words", "others"), lambda x: x["words"] == x["others"]))
+    passed = asked.join(other, ["template", "pattern"]).where(same >= least_shared).select("template", "words", "others")
+    named = passed.join(known.withColumnRenamed("words", "others"), ["template", "others"]).select("template", "words", item_col)
+    named = named.distinct() if every else named.groupBy("template", "words").agg(F.min(item_col).alias(item_col))
+    return hits.join(named, ["template", "words"]).groupBy(doc_col, item_col).agg(F.count_distinct("template").alias("windows"), F.min(F.array_join("words", " ")).alias("example"))

@@ -150,8 +150,8 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_reparameterised(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold an item's question with other parameters."""
-    return leaks.reparameterised(load(spark, sf, "documents"), load(spark, sf, "eval_items"))
+    """Documents that hold an item's question with other parameters, under every such item."""
+    return leaks.reparameterised(load(spark, sf, "documents"), load(spark, sf, "eval_items"), every=True)
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

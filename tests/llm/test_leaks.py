@@ -43,6 +43,17 @@ def test_reparameterised(spark):
     assert got == {(1, 1)}  # 2 is verbatim, 3 repeats one name where items have several
 
 
+def test_reparameterised_tests_every_wording(spark):
+    # Item 0 has one name where the others have several: same templates, other slots.
+    first = "According to the kip table, every kip with a kip core must lose exactly 7 grams of kip today."
+    known = items(spark).unionByName(spark.createDataFrame([(0, first)], "item_id int, text string"))
+    docs = spark.createDataFrame([
+        (1, "According to the glim table, every pear with a hard core must lose exactly 12 grams of whey today."), (2, first), (3, "According to the same table, every same with a same core must lose exactly 12 grams of same today."),
+    ], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.reparameterised(docs, known).collect()} == {(1, 1), (3, 0)}
+    assert {(r.doc_id, r.item_id) for r in leaks.reparameterised(docs, known, every=True).collect()} == {(1, i) for i in (1, 3, 10, 11, 12, 13)} | {(3, 0)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     assert leaks.verbatim(docs.where("false"), items(spark)).count() == 0
