@@ -44,10 +44,8 @@ def p1_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Fuzzy passages: aligned chains of a read and another record."""
-    records = _records(spark, sf)
-    chained = materialise(spans.chains(spans.matches(records)), "chains")
-    return spans.passages(records, chained).where(_is_read("record")).withColumnRenamed("record", "read_idx")
+    """Fuzzy passages: aligned chains of a read and another record, between all different texts."""
+    return spans.fuzzy_passages(_records(spark, sf)).where(_is_read("record")).withColumnRenamed("record", "read_idx")
 
 
 def _spellings(name: str) -> Column:

@@ -24,6 +24,10 @@ from seqlume.plans.scratch import materialise
 from seqlume.plans.skew import lookup
 
 SPAN, SEED = 40, 20
+#: Exact bases that records of a fuzzy passage share at least once.
+STRETCH = 40
+#: Texts that hold one seed are paired in blocks of this many.
+BLOCK_TEXTS = 1_000
 #: Score of a matching base is 1; each base of a gap, in either record, costs this.
 GAP_COST = 0.2
 #: Seeds shared between records that are broadcast at most (8 bytes each).
@@ -278,10 +282,11 @@ def _by_group(rows: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], na
     return run
 
 
-def chains(linked: DataFrame, gap_cost: float = GAP_COST) -> DataFrame:
+def chains(linked: DataFrame, gap_cost: float = GAP_COST, span: int = SPAN, keys: tuple[str, ...] = ("record",)) -> DataFrame:
     """Chained segments: ``record``, ``partner``, ``chain``, ``start``, ``end``, ``there`` and ``there_end``.
 
-    Windows that follow each other in both records make one segment.
+    Windows of ``span`` bases that follow each other in both records make one segment.
+    Rows are dealt out by ``keys``, which every pair has in common.
     """
 
     def rows(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
@@ -289,10 +294,10 @@ def chains(linked: DataFrame, gap_cost: float = GAP_COST) -> DataFrame:
         order = np.lexsort((at, there - at, partner, record))
         record, partner, at, there = record[order], partner[order], at[order], there[order]
         step = np.diff(at)
-        same = (record[1:] == record[:-1]) & (partner[1:] == partner[:-1]) & (there[1:] - at[1:] == there[:-1] - at[:-1]) & (step <= SPAN)
+        same = (record[1:] == record[:-1]) & (partner[1:] == partner[:-1]) & (there[1:] - at[1:] == there[:-1] - at[:-1]) & (step <= span)
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         last = np.append(first[1:], len(at)) - 1
-        r, p, x, y, n = record[first], partner[first], at[first], there[first], at[last] - at[first] + SPAN
+        r, p, x, y, n = record[first], partner[first], at[first], there[first], at[last] - at[first] + span
         pair = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])])
         begin = np.append(np.flatnonzero(pair), len(r))
         name = np.zeros(len(r), np.int32)
@@ -304,7 +309,7 @@ def chains(linked: DataFrame, gap_cost: float = GAP_COST) -> DataFrame:
 
     names = ["record", "partner", "at", "there"]
     return (
-        linked.select(*names).repartition("record").sortWithinPartitions("record")
+        linked.select(*names).repartition(*keys).sortWithinPartitions("record")
         .mapInArrow(_by_group(rows, names), "record long, partner long, chain int, start int, end int, there int, there_end int")
     )
 
@@ -374,3 +379,131 @@ def passages(records: DataFrame, chained: DataFrame, id_col: str = "record", seq
         "record", first["start"].alias("start"), last["end"].alias("end"), "partner", first["there"].alias("there"), last["there_end"].alias("there_end"),
         F.size("segments").alias("segments"), F.aggregate("segments", F.lit(0), lambda t, s: t + s["end"] - s["start"]).alias("exact"), "edits",
     )
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """``seed``, a 64-bit hash of the ``STRETCH`` bases, ``text`` and ``at`` for every place of ``text`` and its ``sequence`` where all are A, C, G or T."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces: list[tuple[int, int, bytes]] = []
+            size = 0
+            for text, sequence in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = sequence.encode("ascii", "replace")
+                for offset in range(0, max(1, len(raw) - STRETCH + 1), CHUNK):
+                    pieces.append((text, offset, raw[offset : offset + CHUNK + STRETCH - 1]))
+                    size += len(pieces[-1][2]) + 1
+                    if size > CHUNK:
+                        yield pack(pieces)
+                        pieces, size = [], 0
+            if pieces:
+                yield pack(pieces)
+
+    def pack(pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        code = _CODE[np.frombuffer(b"-".join(p for _, _, p in pieces) + b"-" * STRETCH, np.uint8)]
+        begin = np.cumsum([0] + [len(p) + 1 for _, _, p in pieces[:-1]])
+        bad = np.concatenate([[0], np.cumsum(code > 3, dtype=np.int32)])
+        place = np.flatnonzero(bad[STRETCH:] == bad[:-STRETCH])
+        kmer = _packed(code & 3, SEED)
+        seed = _hash(kmer[place])
+        if STRETCH > SEED:
+            with np.errstate(over="ignore"):
+                seed = _hash(seed * np.uint64(3) + kmer[place + STRETCH - SEED])
+        owner = np.searchsorted(begin, place, "right") - 1
+        text, offset = np.array([t for t, _, _ in pieces], np.int64), np.array([o for _, o, _ in pieces], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(text[owner]), pa.array((place - begin[owner] + offset[owner]).astype(np.int32))], names=["seed", "text", "at"])
+
+    return texts.select("text", "sequence").mapInArrow(run, "seed long, text long, at int")
+
+
+def _clusters(texts: DataFrame, kept: DataFrame) -> DataFrame:
+    """Parts of texts no chain can leave: ``text``, ``start`` and ``sequence``.
+
+    A chain crosses a gap only if it gained more than the gap costs, and it has
+    gained no more than the shared bases before the gap.  So a gap that costs as
+    much as all of those ends a part, whatever the partner is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, str]] = []
+            for text, sequence, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                at = np.unique(np.array(places, np.int64))
+                covered = np.append(0, np.cumsum(np.minimum(np.diff(at), STRETCH))) + STRETCH  # up to and with each place
+                wide = np.flatnonzero(np.diff(at) > STRETCH)
+                first = 0
+                for i in wide.tolist():
+                    before = covered[i] - covered[first] + STRETCH
+                    if (at[i + 1] - at[i] - STRETCH) * GAP_COST >= before:
+                        rows.append((text, int(at[first]), sequence[at[first] : at[i] + STRETCH]))
+                        first = i + 1
+                rows.append((text, int(at[first]), sequence[at[first] : at[-1] + STRETCH]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["text", "start", "sequence"])
+
+    joined = texts.select("text", "sequence").join(kept.groupBy("text").agg(F.collect_list("at").alias("places")), "text")
+    return joined.select("text", "sequence", "places").mapInArrow(run, "text long, start int, sequence string")
+
+
+def _numbered(texts: DataFrame, label: str) -> DataFrame:
+    """Written with a number in ``text``, which is fixed by the files."""
+    return materialise(materialise(texts, label).withColumn("text", F.monotonically_increasing_id()), label)
+
+
+def _paired(classes: DataFrame) -> DataFrame:
+    """Every two different texts that share a seed, smaller number first: ``record``, ``at``, ``partner`` and ``there``."""
+    places = materialise(_places(classes), "places")
+    shared = places.groupBy("seed").agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.count_distinct("text").alias("texts"), F.count("*").alias("rows")).where("lo != hi")
+    kept = lookup(places, materialise(shared.select("seed", "texts", "rows"), "shared"), ["seed"], weight="rows")
+    # Texts of a hot seed are dealt out to blocks, and each block meets every other.
+    blocks = F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int")
+    left = kept.select("seed", F.col("text").alias("record"), "at", F.pmod(F.xxhash64("text"), blocks).cast("int").alias("block"))
+    right = kept.select("seed", F.col("text").alias("partner"), F.col("at").alias("there"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return left.join(right, ["seed", "block"]).where("record < partner").select("record", "at", "partner", "there")
+
+
+def fuzzy_passages(records: DataFrame, id_col: str = "record", seq_col: str = "sequence") -> DataFrame:
+    """Passages of any two different texts that share a stretch of bases, as ``passages`` gives them.
+
+    Records of one text, and parts of records with one text, stand for each other:
+    passages are found between every two different texts, in either direction,
+    and named by one holder of each (the smallest that is another record); every
+    other holder has a row that links its whole part to that holder, so the passages of
+    all records follow from the rows.  Sequences are compared without case; rows
+    without an id or a sequence have no passages, and what a record shares with
+    itself does not count.
+    """
+    held = records.where(F.col(id_col).isNotNull() & F.col(seq_col).isNotNull()).select(F.col(id_col).cast("long").alias("record"), F.upper(seq_col).alias("sequence")).distinct()
+    held = held.where(F.col("sequence").rlike(f"[ACGT]{{{STRETCH}}}"))
+    texts = _numbered(held.groupBy("sequence").agg(F.min("record").alias("lo"), F.max("record").alias("hi")), "texts")
+    places = _places(texts)
+    # Seeds that only repeat within a text stay in; they make a part longer, and no pair.
+    shared = places.groupBy("seed").agg(F.count("*").alias("rows")).where("rows > 1")
+    kept = lookup(places, materialise(shared, "seeds"), ["seed"], weight="rows", broadcast_rows=BROADCAST_SEEDS).select("text", "at")
+    parts = materialise(_clusters(texts, kept).join(texts.select("text", "lo", "hi"), "text"), "parts")
+    classes = _numbered(parts.groupBy("sequence").agg(F.min(F.struct(F.col("lo").alias("record"), "start")).alias("lo"), F.max(F.struct(F.col("hi").alias("record"), "start")).alias("hi")), "classes")
+
+    chained = materialise(chains(_paired(classes), span=STRETCH, keys=("record", "partner")), "chains")
+    found = passages(classes, chained, "text")
+    a, b = (classes.select(F.col("text").alias(k), F.col("lo").alias(f"{k}_lo"), F.col("hi").alias(f"{k}_hi")) for k in ("record", "partner"))
+    here = F.when(F.col("record_lo.record") != F.col("partner_lo.record"), F.struct(F.col("record_lo").alias("a"), F.col("partner_lo").alias("b"))).when(
+        F.col("record_hi.record") != F.col("partner_lo.record"), F.struct(F.col("record_hi").alias("a"), F.col("partner_lo").alias("b"))
+    ).when(F.col("record_lo.record") != F.col("partner_hi.record"), F.struct(F.col("record_lo").alias("a"), F.col("partner_hi").alias("b")))
+    named = found.join(a, "record").join(b, "partner").withColumn("h", here).where("h is not null").select(
+        F.col("h.a.record").alias("record"), (F.col("start") + F.col("h.a.start")).alias("start"), (F.col("end") + F.col("h.a.start")).alias("end"),
+        F.col("h.b.record").alias("partner"), (F.col("there") + F.col("h.b.start")).alias("there"), (F.col("there_end") + F.col("h.b.start")).alias("there_end"), "segments", "exact", "edits",
+    )
+    named = materialise(named, "named")
+    turned = named.select(*[F.col(x).alias(y) for x, y in zip(("partner", "there", "there_end", "record", "start", "end"), ("record", "start", "end", "partner", "there", "there_end"), strict=True)], "segments", "exact", "edits")
+
+    def links(members: DataFrame) -> DataFrame:
+        """Each holder (``record``, ``start``) of a ``sequence`` to the first of them (``lo``), or the first to the last (``hi``)."""
+        other = F.when(F.col("lo.record") == F.col("record"), F.col("hi")).otherwise(F.col("lo"))
+        size = F.length("sequence")
+        return members.withColumn("o", other).where("o.record != record").select(
+            "record", "start", (F.col("start") + size).alias("end"), F.col("o.record").alias("partner"), F.col("o.start").alias("there"), (F.col("o.start") + size).alias("there_end"), F.lit(1).alias("segments"), size.alias("exact"), F.lit(0).alias("edits")
+        )
+
+    whole = F.lit(0).alias("start")
+    copies = held.join(texts.where("lo != hi"), "sequence").select("record", whole, "sequence", F.struct(F.col("lo").alias("record"), whole).alias("lo"), F.struct(F.col("hi").alias("record"), whole).alias("hi"))
+    holders = parts.select(F.col("lo").alias("record"), "start", "sequence").join(classes.select("sequence", "lo", "hi"), "sequence")
+    return named.unionByName(turned).unionByName(links(copies)).unionByName(links(holders)).distinct()

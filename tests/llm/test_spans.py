@@ -130,3 +130,20 @@ def test_passages_align_the_gaps(spark):
     got = {r.record: r for r in spans.passages(df, spans.chains(spans.matches(df))).collect()}
     assert set(got) == {1, 2} and got[1].segments == 2 and got[1].edits == 1 and got[1].exact == 120 and (got[1].start, got[1].end) == (30, 151)
     assert spans._edits("kitten", "sitting") == 3 and spans._edits("", "ab") == 2
+
+
+def test_fuzzy_passages_link_all_different_texts(spark, monkeypatch):
+    rnd = random.Random(10)
+    a, b = text(rnd, 60), text(rnd, 60)
+    rows = [(1, text(rnd, 30) + a + text(rnd, 30)), (2, a + "A" + b), (3, text(rnd, 20) + a + "C" + b), (4, a + "A" + b), (5, text(rnd, 10) + a + text(rnd, 400)), (None, a), (6, None), (7, a + a), (7, a + a)]
+    df = spark.createDataFrame(rows, "record long, sequence string")
+    for block in (1, 1000):
+        monkeypatch.setattr(spans, "BLOCK_TEXTS", block)
+        got = {(r.record, r.partner): r for r in spans.fuzzy_passages(df).collect()}
+        for pair in ((2, 3), (3, 2)):
+            assert got[pair].edits == 1 and got[pair].exact == 120 and got[pair].segments == 2
+        assert (got[3, 2].start, got[3, 2].end, got[3, 2].there, got[3, 2].there_end) == (20, 141, 0, 121)
+        assert got[4, 2].exact == 121 and got[2, 4].exact == 121  # copies stand for each other
+        assert (1, 2) in got and (3, 1) in got and (5, 1) in got and (7, 1) in got
+        assert all(x != y for x, y in got) and not {r for r, _ in got} & {6, None}
+    assert spans.fuzzy_passages(df.where("false")).count() == 0
