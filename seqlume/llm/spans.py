@@ -24,8 +24,8 @@ from seqlume.plans.scratch import materialise
 from seqlume.plans.skew import lookup
 
 SPAN, SEED = 40, 20
-#: Exact bases that records of a fuzzy passage share at least once.
-STRETCH = 40
+#: Exact bases that chains of fuzzy passages are made of: seeds, at all places.
+STRETCH = SEED
 #: Texts that hold one seed are paired in blocks of this many.
 BLOCK_TEXTS = 1_000
 #: Score of a matching base is 1; each base of a gap, in either record, costs this.

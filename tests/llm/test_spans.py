@@ -147,3 +147,15 @@ def test_fuzzy_passages_link_all_different_texts(spark, monkeypatch):
         assert (1, 2) in got and (3, 1) in got and (5, 1) in got and (7, 1) in got
         assert all(x != y for x, y in got) and not {r for r, _ in got} & {6, None}
     assert spans.fuzzy_passages(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("stretch", [20, 25, 39])
+def test_fuzzy_passages_without_a_whole_window(spark, stretch):
+    rnd = random.Random(stretch)
+    parts = [text(rnd, stretch) for _ in range(6)]
+    rows = [(1, text(rnd, 30) + "A".join(parts)), (2, "C".join(parts)), (3, text(rnd, 50) + parts[0][:20])]
+    df = spark.createDataFrame(rows, "record long, sequence string")
+    got = {(r.record, r.partner): r for r in spans.fuzzy_passages(df).collect()}
+    assert (got[1, 2].segments, got[1, 2].exact, got[1, 2].edits) == (6, 6 * stretch, 5)
+    assert (got[2, 1].start, got[2, 1].end) == (0, 6 * stretch + 5)
+    assert (3, 2) in got and (3, 1) in got
