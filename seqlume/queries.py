@@ -278,14 +278,14 @@ def pair_fingerprint_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fingerprint_subsample(spark: SparkSession, sf: str) -> DataFrame:
-    """A-26: fingerprints kept by a store for 1,000."""
-    kept, bits = dedup.subsampled(_fingerprints(spark, sf), 1_000)
+    """A-26: fingerprints kept by a store of the usual size."""
+    kept, bits = dedup.subsampled(_fingerprints(spark, sf))
     return kept.withColumn("bits", F.lit(bits))
 
 
 def fingerprint_subsample_parity(spark: SparkSession, sf: str) -> DataFrame:
     """A-26 by the public hash of the bases, seeded with the length class."""
-    kept, bits = dedup.subsampled(_fingerprints(spark, sf), 1_000, parity=True)
+    kept, bits = dedup.subsampled(_fingerprints(spark, sf), parity=True)
     return kept.withColumn("bits", F.lit(bits))
 
 

@@ -20,6 +20,12 @@ def test_runs_without_sql(spark, data, name):
     df.collect()
 
 
+@pytest.mark.parametrize("name", ["fingerprint_subsample", "fingerprint_subsample_parity"])
+def test_stores_of_the_usual_size_keep_all(spark, name):
+    larger = "/root/testdata/sf0.01"
+    assert QUERIES[name](spark, larger).count() == QUERIES["fingerprint_counts"](spark, larger).count() > 1_000
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
