@@ -92,6 +92,7 @@ f AS (SELECT read_idx, CAST(sum(span_end - span_start) AS BIGINT) AS shared, cou
 SELECT r.read_idx, r.length, coalesce(f.shared, 0) AS shared_bases, coalesce(f.spans, 0) AS spans,
   CASE WHEN r.length > 0 THEN round(coalesce(f.shared, 0) / r.length, 6) ELSE 0.0 END AS shared_fraction FROM r LEFT JOIN f USING (read_idx)""",
         "p5_found": _P5,
+        "p5_counts": f"SELECT (SELECT count(*) FROM short_reads WHERE length(sequence) > 0) AS keys, (SELECT count(*) FROM ({_P5})) AS repeats, CAST(0 AS BIGINT) AS missed, true AS within",
         "p6_found": _frequent(0.01, "sequence"),
         "p6_frequent": _frequent(0.001, "sequence, n, round(n / total, 9) AS share"),
         "p8_found": _leaks(),

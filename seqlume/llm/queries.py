@@ -112,19 +112,30 @@ def p4_columns(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("total", F.col("total").cast("long")).withColumn("stated_error_50", F.lit(digest.rank_error(0.5)))
 
 
-def _seen(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _seen(spark: SparkSession, sf: str) -> seen.Judged:
     upper = F.upper("sequence")
-    return seen.verdicts(load(spark, sf, "short_reads"), upper, "read_idx", load(spark, sf, "prior_sequences"), upper)
+    return seen.judged(load(spark, sf, "short_reads"), upper, "read_idx", load(spark, sf, "prior_sequences"), upper)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose sequence occurred before, in an earlier run or row."""
-    return _seen(spark, sf)[0]
+    return _seen(spark, sf).repeats
 
 
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     """The measured errors of the membership filter."""
-    return _seen(spark, sf)[1]
+    return seen.rates(_seen(spark, sf), "read_idx")
+
+
+def p5_disproved(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that the filter took for repeats and the lookup did not."""
+    return _seen(spark, sf).disproved
+
+
+def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys, repeats and missed repeats, and whether the filter's false positives stay within twice what its size promises."""
+    expected = (1 - 2.718281828 ** (-seen.PROBES / seen.BITS_PER_KEY / 1.25)) ** seen.PROBES
+    return p5_rates(spark, sf).select("keys", "repeats", "missed", (F.col("false_positive_rate") <= 2 * expected).alias("within"))
 
 
 def p6_frequent(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,5 +176,5 @@ def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_shared, p1_passages, p2_distinct, p4_lengths, p4_columns, p5_found, p5_rates, p6_found, p6_frequent, p7_ids, p8_found, p8_reparameterised, p9_found, p9_forms,
+        p1_found, p1_shared, p1_passages, p2_distinct, p4_lengths, p4_columns, p5_found, p5_rates, p5_disproved, p5_counts, p6_found, p6_frequent, p7_ids, p8_found, p8_reparameterised, p9_found, p9_forms,
     )}

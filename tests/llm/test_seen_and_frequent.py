@@ -104,3 +104,53 @@ def test_iceberg_of_nothing(spark):
     assert frequent.iceberg(df.where("false"), F.col("value"), 0.01).columns == ["value", "n", "share"]
     with pytest.raises(ValueError):
         frequent.iceberg(df, F.col("value"), 0)
+
+
+def test_filter_is_sized_by_earlier_keys_too(spark):
+    # Few new keys against many earlier ones: the filter errs in about one of a hundred.
+    prior = spark.range(400_000).select(F.concat(F.lit("p"), "id").alias("sequence"))
+    rows = spark.range(2_000).select(F.col("id").alias("read_idx"), F.concat(F.lit("n"), "id").alias("sequence"))
+    repeats, errors = seen.verdicts(rows, F.col("sequence"), "read_idx", prior, F.col("sequence"))
+    got = errors.first()
+    assert repeats.count() == 0 and got.accepted == got.disproved and got.false_positive_rate < 0.03 and got.missed == 0
+
+
+def test_disproved_rows_are_logged(spark, monkeypatch):
+    monkeypatch.setattr(seen, "STEP", 16)
+    rows = spark.createDataFrame([(i, f"k{i % 9_000}") for i in range(10_000)], "read_idx long, sequence string")
+    found = seen.judged(rows, F.col("sequence"), "read_idx", bits_per_key=1)
+    logged, errors = {r.read_idx for r in found.disproved.collect()}, seen.rates(found, "read_idx").first()
+    assert found.repeats.count() == 1_000 and errors.missed == 0 and errors.false_negative_rate == 0
+    assert len(logged) == errors.disproved > 100 and max(logged) < 9_000
+
+
+def test_missed_repeats_are_measured(spark):
+    rows = spark.createDataFrame([(i, f"k{i % 50}") for i in range(100)], "read_idx long, sequence string")
+    found = seen.judged(rows, F.col("sequence"), "read_idx")
+    found.clear = found.clear.where("at < 60")  # as if the filter had lost the others
+    errors = seen.rates(found, "read_idx").first()
+    assert errors.missed == 40 and errors.false_negative_rate == pytest.approx(0.8)
+
+
+def test_days_share_what_is_remembered(spark, monkeypatch):
+    monkeypatch.setattr(seen, "SHARD_BITS", 1 << 12)
+    earlier = seen.remember(spark.createDataFrame([(f"k{i % 700}",) for i in range(1_000)] + [(None,), ("",)], "k string"), F.col("k"), room=1_000)
+    assert earlier.keys.count() == 700 and earlier.filters.count() <= earlier.shards
+    for day in range(2):
+        rows = spark.createDataFrame([(i, f"k{i + 500 * day}") for i in range(600)], "read_idx long, sequence string")
+        repeats, _ = seen.verdicts(rows, F.col("sequence"), "read_idx", earlier=earlier)
+        assert {r[0] for r in repeats.collect()} == {i for i in range(600) if i + 500 * day < 700}
+
+
+def test_a_full_map_of_asked_hashes_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(seen, "MOST_ASKED_BITS", 128)
+    rows, prior = data(3)
+    assert run(spark, rows, prior)[0] == brute(rows, prior)
+
+
+def test_keys_that_share_a_hash(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(seen.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(40)))
+    rows, prior = data(4, 600)
+    got, errors = run(spark, rows, prior)
+    assert got == brute(rows, prior) and errors.disproved > 0
