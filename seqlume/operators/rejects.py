@@ -69,8 +69,12 @@ def parsed(lines: DataFrame, id_col: str = "row_id", line_col: str = "line") ->
     return cut.select(id_col, problem.alias("problem"), *[F.when(problem.isNull(), F.get("fields", F.lit(i))).alias(f) for i, f in enumerate(FIELDS)])
 
 
-def invalid_values(rows: DataFrame) -> DataFrame:
-    """The dictionary: ``field``, ``value``, ``reason``, ``rows``, each distinct invalid value once."""
+def judged_values(rows: DataFrame) -> DataFrame:
+    """``field``, ``value``, ``reason`` and ``rows``: a row for each distinct value of a judged column.
+
+    The reason is worked out above the aggregate, so once for each distinct value
+    and not for each row.  Valid values have a null reason, and their text is dropped.
+    """
     values = rows.where("problem is null").select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("name", "qualities")])))
     counted = values.groupBy("field", "value").agg(F.count("*").alias("rows"))
     reason = (
@@ -78,31 +82,43 @@ def invalid_values(rows: DataFrame) -> DataFrame:
         .when((F.col("field") == "name") & F.col("value").rlike(r"[^\x20-\x7E]"), "character")
         .when((F.col("field") == "qualities") & F.col("value").rlike(r"[^\x21-\x7E]"), "character")
     )
-    return counted.withColumn("reason", reason).where("reason is not null")
+    return counted.select("field", "value", reason.alias("reason"), "rows").select("field", F.when(F.col("reason").isNotNull(), F.col("value")).alias("value"), "reason", "rows")
 
 
-def checked(lines: DataFrame, id_col: str = "row_id", line_col: str = "line") -> DataFrame:
-    """Every line with its fields and ``reason``, null for valid ones.
+def invalid_values(rows: DataFrame) -> DataFrame:
+    """The dictionary, a written table: each distinct invalid value once, with its reason.
 
-    The reason is the first that holds: quoting, columns, name, qualities.  A
-    null line has no fields (columns), an empty line has one (columns).  Empty
-    sequence with empty qualities is valid; sample and sequence are not judged.
-    Repeated ids and lines are judged each on their own, and columns other than
-    the two named are not read.
+    The verdicts are written before the valid ones are left out: as one plan the
+    optimizer would move the judging below the aggregate, back to every row.
+    """
+    return materialise(judged_values(rows), "verdicts").where("reason is not null")
+
+
+def checked(lines: DataFrame, id_col: str = "row_id", line_col: str = "line") -> DataFrame:
+    """Every line with its fields and ``reason``, null for valid ones, and ``detail``.
+
+    The reason is the first that holds: quoting, columns, name, qualities.  The
+    detail is the dictionary's (empty, character), or length for qualities of
+    another length than the sequence.  A null line has no fields (columns), an
+    empty line has one (columns).  Empty sequence with empty qualities is valid;
+    sample and sequence are not judged.  Repeated ids and lines are judged each on
+    their own, and columns other than the two named are not read.
     """
     rows = materialise(parsed(lines, id_col, line_col), "lines")
-    bad = materialise(invalid_values(rows), "invalid")
+    bad = invalid_values(rows)
     keep = [id_col, "problem", *FIELDS]
     for field in ("name", "qualities"):
-        own = bad.where(F.col("field") == field).select(F.col("value").alias(field), F.lit(True).alias(f"bad_{field}"), F.col("rows"))
-        rows = lookup(rows, own, [field], "left", weight="rows").select(*keep, f"bad_{field}")
-        keep.append(f"bad_{field}")
+        own = bad.where(F.col("field") == field).select(F.col("value").alias(field), F.col("reason").alias(f"{field}_reason"), F.col("rows"))
+        rows = lookup(rows, own, [field], "left", weight="rows").select(*keep, f"{field}_reason")
+        keep.append(f"{field}_reason")
+    uneven = F.length("sequence") != F.length("qualities")
     reason = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.col("bad_name"), "name")
-        .when(F.col("bad_qualities") | (F.length("sequence") != F.length("qualities")), "qualities")
+        .when(F.col("name_reason").isNotNull(), "name")
+        .when(F.col("qualities_reason").isNotNull() | uneven, "qualities")
     )
-    return rows.select(id_col, *FIELDS, reason.alias("reason"))
+    detail = F.when(F.col("problem").isNull(), F.coalesce("name_reason", "qualities_reason", F.when(uneven, "length")))
+    return rows.select(id_col, *FIELDS, reason.alias("reason"), detail.alias("detail"))
 
 
 def rejected(lines: DataFrame, id_col: str = "row_id", line_col: str = "line") -> DataFrame:

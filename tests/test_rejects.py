@@ -91,3 +91,18 @@ def test_hot_invalid_values(spark, monkeypatch, limit):
     lines = ["s,,A,I"] * 300 + [f"s,n{i},A,I" for i in range(300)] + ["broken"] * 300
     got = judge(spark, lines)
     assert sum(v == "name" for v in got.values()) == 300 and sum(v == "columns" for v in got.values()) == 300
+
+
+def test_values_are_judged_once_each_above_the_aggregate(spark):
+    rows = rejects.parsed(spark.createDataFrame([(1, "s,n,A,I"), (2, "s,,A,I"), (3, "s,,A,I"), (4, "s,é,A,\x01"), (5, "bad")], "row_id long, line string"))
+    plan = rejects.judged_values(rows)._jdf.queryExecution().executedPlan().toString().splitlines()
+    final = next(i for i, line in enumerate(plan) if "HashAggregate" in line)  # results of the final aggregate, of which there is one a value
+    assert any("RLIKE" in line for line in plan[: final + 1]) and not any("RLIKE" in line for line in plan[final + 1 :])
+    found = {(r.field, r.value, r.reason, r.rows) for r in rejects.invalid_values(rows).collect()}
+    assert found == {("name", "", "empty", 2), ("name", "é", "character", 1), ("qualities", "\x01", "character", 1)}
+
+
+def test_reasons_come_back_from_the_dictionary(spark):
+    df = spark.createDataFrame([(1, "s,n,A,I"), (2, "s,,A,I"), (3, "s,é,A,I"), (4, "s,n,A,\x01"), (5, "s,n,AA,I"), (6, "x")], "row_id long, line string")
+    got = {r.row_id: (r.reason, r.detail) for r in rejects.checked(df).collect()}
+    assert got == {1: (None, None), 2: ("name", "empty"), 3: ("name", "character"), 4: ("qualities", "character"), 5: ("qualities", "length"), 6: ("columns", None)}
