@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from seqlume.llm import leaks
 
 ITEM = "According to the zork table, every plum with a soft core must lose exactly 384 grams of brill today."
@@ -64,3 +66,33 @@ def test_empty_tables(spark):
 def test_words():
     assert leaks.words_of("The {C}afе́ \\emph{x}-y\\\\z \\alpha_2") == ["the", "café", "x", "y", "z", "2"]
     assert leaks.words_of(None) == []
+
+
+def test_items_without_common_words_emit_no_windows(spark):
+    names = iter(f"w{i:05d}x" for i in range(10**6))
+    few = spark.createDataFrame([(i, " ".join(next(names) for _ in range(20))) for i in range(40)], "item_id int, text string")
+    docs = spark.createDataFrame([(i, " ".join(next(names) for _ in range(200))) for i in range(100)], "doc_id long, text string")
+    for by, least in (("wording", 0), ("pattern", 5)):
+        assert leaks.candidates(docs, few, by, least)[0].count() == 0
+    assert leaks.verbatim(docs.unionByName(few.select(F.col("item_id").cast("long").alias("doc_id"), "text")), few).count() == 40
+
+
+def test_recall_of_planted_reparameterised_items(spark, data):
+    known = spark.read.parquet(f"{data}/eval_items.parquet")
+    vocabulary = [r.word for r in leaks.shared_words(known).collect()]
+    codes = leaks._Codes(vocabulary)
+    fixed = {w for w in vocabulary if not codes.typed(w)}
+    planted, items_of = [], {}
+    for r in known.orderBy("item_id").collect():
+        words = leaks.words_of(r.text)
+        if any(sum(w in fixed for w in words[i : i + 12]) >= 5 for i in range(len(words) - 11)):
+            other = [w if w in fixed or w in leaks.UNITS else f"7{w}8" if codes.typed(w) else f"z{w}z" for w in words]
+            if other != words:
+                planted.append((r.item_id, "Some words before. " + " ".join(other) + " And after."))
+                items_of[r.item_id] = r.text
+    docs = spark.createDataFrame(planted, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in leaks.reparameterised(docs, known, every=True).collect()}
+    assert len(planted) > 50
+    hit = sum((i, i) in found for i in items_of)
+    print(f"recall {hit} of {len(planted)}")
+    assert hit == len(planted)
