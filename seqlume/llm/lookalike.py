@@ -1,10 +1,12 @@
 """One form for texts that look the same.
 
-A token's spelling is looked up in tries over the corpus vocabulary with an
-edit automaton in which look-alikes, ignorable characters and split or joined
-forms cost nothing.  Among the spellings that are reached the canonical one is
-chosen by a rule that depends on the set only, so look-alike tokens agree.
-Tokens without a match in the vocabulary are normalised by table.
+The corpus vocabulary stands in tries.  A token that has look-alikes is walked
+through them with a weighted edit automaton: look-alikes, characters without
+width and composed or joined forms cost nothing, a second reading of a shape
+(capital I and small l) a little, any other change more than the budget.  Of the
+spellings that are reached at least cost the canonical one is chosen by a rule
+that depends on the set only, so look-alike tokens agree.  Tokens that reach
+nothing in the vocabulary are normalised by table.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlume.plans.scratch import materialise, spread
-from seqlume.plans.skew import small
+from seqlume.plans.skew import lookup, small
 
-#: Letters of other scripts with the shape of a Latin letter.
+#: Letters of other scripts, and marks, with the shape of a Latin letter or common mark.
 LOOK_ALIKE = {
     # Greek capitals and small letters
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
@@ -31,13 +33,33 @@ LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O",
     "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "а": "a", "е": "e", "о": "o", "р": "p",
     "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "ӏ": "l", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G",
+    "ӏ": "l", "Ӏ": "I", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ӕ": "Æ", "ӕ": "æ", "Ә": "Ə", "ә": "ə", "Ѵ": "V", "ѵ": "v", "Ꙇ": "I", "ꙇ": "i",
     # Armenian, and letters of Latin extensions
-    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Տ": "S", "Օ": "O", "ɑ": "a", "ɡ": "g", "ı": "i", "ꓐ": "B",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Տ": "S", "Օ": "O", "ɑ": "a", "ɡ": "g", "ı": "i", "ǃ": "!",
+    # Coptic
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮒ": "h",
+    "Ꮓ": "Z", "Ꮞ": "4", "Ꮟ": "b", "Ꮢ": "R", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Marks
     "‐": "-", "‑": "-", "⁃": "-", "﹣": "-", "ʹ": "'", "ʼ": "'", "＇": "'", "‛": "'",
     "⁄": "/", "∕": "/", "∶": ":", "ː": ":", "‚": ",", "․": ".", "∗": "*", "µ": "μ", "Ω": "Ω", "∣": "|", "ǀ": "|",
 }
+#: A shape that is read in two ways: the second reading costs little, so a word of the
+#: vocabulary is found by it where the first reading gives none.
+SECOND = {"I": "l", "l": "I"}
+SECOND_COST, EDIT_COST = 0.25, 1.0
+#: What a token may cost to reach a spelling: two second readings, and no edit.
+BUDGET = 0.5
+#: Characters that tokens and spellings must share to be walked together (below the cost of an edit).
+PREFIX = 6
+#: Words of a trie where edits are allowed and every token is walked through every trie.
+TRIE_WORDS = 200_000
+#: Longer tokens are normalised by table.
+LONGEST = 100
 #: Characters without width outside the format category.
 _NO_WIDTH = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 
@@ -143,60 +165,88 @@ def by_table(text: str) -> str:
     return text if text.isascii() else _BY_TABLE.apply(text)
 
 
+def _shown(token: str) -> str:
+    """The characters of ``token`` one by one as they look, without those that have no width."""
+    return token if token.isascii() else unicodedata.normalize("NFD", token).translate(TABLE)
+
+
+class _Node:
+    __slots__ = ("children", "steps", "ends")
+
+    def __init__(self) -> None:
+        self.children: dict[str, _Node] = {}
+        #: First character as it looks -> (what follows it, child); "" for characters without width.
+        self.steps: dict[str, list[tuple[str, _Node]]] = {}
+        self.ends: list[tuple[str, int]] = []
+
+
 class Trie:
     """Vocabulary spellings, walked with an automaton of weighted edits.
 
-    A spelling is stored under its decomposed characters.  A walk consumes the
-    decomposed query; a step costs nothing if query and edge fold to the same
-    character or the query's character has no width, and ``1`` for each other
-    insertion, deletion or replacement, up to ``budget``.
+    A spelling is stored under its decomposed characters.  A step from a node costs
+    nothing if query and edge look alike or the edge has no width, ``SECOND_COST``
+    for a second reading, and ``EDIT_COST`` for each other insertion, deletion or
+    replacement, up to ``budget`` in all.
     """
 
     __slots__ = ("root", "budget")
 
-    def __init__(self, spellings: dict[str, int], budget: int = 0):
-        self.root: dict = {}
+    def __init__(self, spellings: dict[str, int], budget: float = 0):
+        self.root = _Node()
         self.budget = budget
         for spelling, count in spellings.items():
             node = self.root
-            for ch in unicodedata.normalize("NFD", spelling):
-                node = node.setdefault(ch, {})
-            node.setdefault("", []).append((spelling, count))
-
-    def search(self, query: str) -> list[tuple[int, str, int]]:
+            for ch in spelling if spelling.isascii() else unicodedata.normalize("NFD", spelling):
+                child = node.children.get(ch)
+                if child is None:
+                    child = node.children[ch] = _Node()
+                    looks = TABLE.get(ord(ch), ch)
+                    node.steps.setdefault(looks[:1], []).append((looks[1:], child))
+                node = child
+            node.ends.append((spelling, count))
+
+    def search(self, query: str) -> list[tuple[float, str, int]]:
         """(cost, spelling, count) of every spelling within the budget."""
-        wanted = "".join(TABLE.get(ord(c), c) for c in unicodedata.normalize("NFD", query))
-        best: dict[str, tuple[int, int]] = {}
-        stack = [(self.root, 0, "", 0)]
-        seen: dict[tuple[int, int, str], int] = {}
+        wanted, budget = _shown(query), self.budget
+        best: dict[str, tuple[float, int]] = {}
+        stack: list[tuple[_Node, int, float]] = [(self.root, 0, 0)]
+        seen: dict[tuple[int, int], float] = {}
         while stack:
-            node, at, owed, cost = stack.pop()
-            key = (id(node), at, owed)
-            if seen.get(key, self.budget + 1) <= cost:
+            node, at, cost = stack.pop()
+            if seen.get((id(node), at), budget + 1) <= cost:
                 continue
-            seen[key] = cost
-            if at == len(wanted) and not owed:
-                for spelling, count in node.get("", ()):
-                    if cost < best.get(spelling, (self.budget + 1, 0))[0]:
+            seen[id(node), at] = cost
+            if at == len(wanted):
+                for spelling, count in node.ends:
+                    if cost < best.get(spelling, (budget + 1, 0))[0]:
                         best[spelling] = (cost, count)
-            for edge, child in node.items():
-                if not edge:
-                    continue
-                # ``owed``: what an edge that folds to several characters still has to match
-                folded = owed + TABLE.get(ord(edge), edge)
-                shared = 0
-                while shared < len(folded) and at + shared < len(wanted) and folded[shared] == wanted[at + shared]:
-                    shared += 1
-                if shared == len(folded):
-                    stack.append((child, at + shared, "", cost))
-                if cost < self.budget:
-                    stack.append((child, at, "", cost + 1))
+            else:
+                ch = wanted[at]
+                for first, more in ((ch, 0), (SECOND.get(ch), SECOND_COST)):
+                    for rest, child in node.steps.get(first, ()) if first else ():
+                        paid = cost + more + self._rest(rest, wanted, at + 1)
+                        if paid <= budget:
+                            stack.append((child, at + 1 + len(rest), paid))
+            for _, child in node.steps.get("", ()):
+                stack.append((child, at, cost))
+            if cost + EDIT_COST <= budget:
+                for child in node.children.values():
+                    stack.append((child, at, cost + EDIT_COST))
                     if at < len(wanted):
-                        stack.append((child, at + 1, "", cost + 1))
-            if cost < self.budget and at < len(wanted):
-                stack.append((node, at + 1, owed, cost + 1))
+                        stack.append((child, at + 1, cost + EDIT_COST))
+                if at < len(wanted):
+                    stack.append((node, at + 1, cost + EDIT_COST))
         return sorted((cost, spelling, count) for spelling, (cost, count) in best.items())
 
+    def _rest(self, rest: str, wanted: str, at: int) -> float:
+        """What the further characters of a joined form cost."""
+        paid = 0.0
+        for i, ch in enumerate(rest):
+            other = wanted[at + i : at + i + 1]
+            if other != ch:
+                paid += SECOND_COST if other and SECOND.get(other) == ch else self.budget + 1
+        return paid
+
 
 def _one_script(token: str) -> bool:
     scripts = {unicodedata.name(c, "?").split(" ")[0] for c in token if c.isalpha()}
@@ -214,24 +264,14 @@ def _plain(token: str) -> bool:
     )
 
 
-def _choose(token: str, reached: list[tuple[int, str, int]]) -> tuple[str, bool]:
-    """The canonical spelling, and whether the vocabulary gave it.
-
-    The form by table wins if the vocabulary has it (it is then what readers of
-    the Latin spelling get); else the most frequent spelling, ties by code point.
-    """
-    form = by_table(token)
-    least = reached[0][0] if reached else 0
-    near = [(spelling, count) for cost, spelling, count in reached if cost == least]
-    if any(spelling == form for spelling, _ in near):
-        return form, True
-    if near:
-        return min(near, key=lambda x: (-x[1], x[0]))[0], True
-    return form, False
+def _rank(form: str, cost: float, spelling: str, count: int) -> tuple:
+    """The order in which spellings are canonical: least cost first; then the form by table
+    (it is what readers of the Latin spelling get), the most frequent, and by code point."""
+    return (cost, spelling != form, -count, spelling)
 
 
 def vocabulary(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """Tokens of all texts: ``form`` (by table), ``token``, ``n``.
+    """Tokens of all texts: ``token``, ``n``.
 
     Counts gather in each Python worker and leave it when 300,000 tokens are
     held, so memory is bounded; the sums shuffle once, on distinct tokens.
@@ -242,9 +282,9 @@ def vocabulary(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
         def out() -> pa.RecordBatch:
             tokens = list(counts)
-            cols = [pa.array([by_table(t) for t in tokens], pa.string()), pa.array(tokens, pa.string()), pa.array([counts[t] for t in tokens], pa.int64())]
+            cols = [pa.array(tokens, pa.string()), pa.array([counts[t] for t in tokens], pa.int64())]
             counts.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["form", "token", "n"])
+            return pa.RecordBatch.from_arrays(cols, names=["token", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -255,40 +295,80 @@ def vocabulary(documents: DataFrame, text_col: str = "text") -> DataFrame:
         if counts:
             yield out()
 
-    return spread(documents.select(text_col)).mapInArrow(run, "form string, token string, n long").groupBy("form", "token").agg(F.sum("n").alias("n"))
+    return spread(documents.select(text_col)).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def spellings(words: DataFrame, budget: int = 0) -> DataFrame:
-    """``token`` and its canonical ``spelling``, for tokens that may change.
+def _keyed(words: DataFrame) -> DataFrame:
+    """``key``, ``token``, ``n``, ``asks`` (may its spelling change) and ``plain`` (may it be canonical).
 
-    ``words`` is the result of ``vocabulary``.  Spellings that look the same
-    have one form by table, so tries are built and walked in partitions of
-    forms and no task holds the whole vocabulary.  ``known`` tells whether the
-    vocabulary or the table gave the spelling.
+    All spellings that a token reaches below the cost of an edit have its key: the
+    first characters as they look, second readings brought together.
     """
-    words = materialise(words, "vocabulary")  # read twice, counted once
-    changed = words.where("token != form").select("form").distinct()
-    words = words.join(changed, "form", "left_semi").repartition("form").sortWithinPartitions("form", "token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def resolve(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-            trie = Trie({token: n for _, token, n in rows if _plain(token)}, budget)
-            result = [(token, *_choose(token, trie.search(token))) for _, token, _ in rows]
-            cols = [pa.array([r[i] for r in result], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
-            cols.append(pa.array([form for form, _, _ in rows], pa.string()))
-            return pa.RecordBatch.from_arrays(cols, names=["token", "spelling", "known", "form"])
-
-        held: list[tuple[str, str, int]] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if len(held) >= 20_000 and row[0] != held[-1][0]:
-                    yield resolve(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield resolve(held)
+            rows = []
+            for token in batch.column(0).to_pylist():
+                shown, plain = _shown(token), _plain(token)
+                # A plain spelling that is its own form by table is canonical.
+                asks = not token.isascii() and (not plain or by_table(token) != token)
+                rows.append((shown[:PREFIX].replace("I", "l") if len(shown) <= LONGEST else None, asks, plain))
+            cols = [pa.array([r[0] for r in rows], pa.string()), batch.column(0), batch.column(1), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "token", "n", "asks", "plain"])
+
+    return words.mapInArrow(run, "key string, token string, n long, asks boolean, plain boolean").where("key is not null")
+
+
+def spellings(words: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """``token`` and its canonical ``spelling``, for tokens with look-alikes, and their ``form`` by table.
+
+    ``words`` is the result of ``vocabulary``.  ``known`` tells whether the
+    vocabulary or the table gave the spelling.  Tries are built for the words of one
+    prefix as it looks, which is all that can be reached without an edit.  If the
+    budget allows edits, tries hold ``TRIE_WORDS`` each and every token is walked
+    through all of them.
+    """
+    words = materialise(_keyed(words), "vocabulary")  # read twice, counted once
+    asking = words.where("asks")
+    edits = budget >= EDIT_COST
+    if edits:
+        tries = -(-words.where("plain").count() // TRIE_WORDS) or 1
+        entries = words.where("plain").withColumn("key", F.pmod(F.xxhash64("token"), F.lit(tries)).cast("string"))
+        asked = asking.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)).cast("array<string>")))
+    else:
+        keys = asking.select("key").distinct()
+        entries = words.where("plain").join(F.broadcast(keys) if small(keys) else keys, "key", "left_semi")
+        asked = asking
+    entries = entries.select("key", "token", "n", F.lit(False).alias("asks"))
+    dealt = entries.unionByName(asked.select("key", "token", "n", F.lit(True).alias("asks"))).repartition("key").sortWithinPartitions("key", "asks", "token")
 
-    return words.select("form", "token", "n").mapInArrow(run, "token string, spelling string, known boolean, form string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens, trie, at = {}, [], None, None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["token", "form", "spelling", "cost", "n"])
+
+        for batch in batches:
+            for key, token, n, asks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != at:
+                    held, trie, at = {}, None, key
+                if not asks:
+                    held[token] = n
+                    continue
+                trie = trie or Trie(held, budget)  # a prefix's words come before what asks
+                form = by_table(token)
+                cost, _, n, spelling = min((_rank(form, c, s, k) for c, s, k in trie.search(token)), default=(None, None, None, None))
+                tokens.append((token, form, spelling, cost, None if n is None else -n))
+            if tokens:
+                yield out(tokens)
+                tokens = []
+
+    found = dealt.mapInArrow(run, "token string, form string, spelling string, cost double, n long")
+    if edits:
+        order = F.struct("cost", F.col("spelling") != F.col("form"), -F.col("n"), "spelling")
+        found = found.groupBy("token", "form").agg(F.min_by("spelling", F.when(F.col("spelling").isNotNull(), order)).alias("spelling"))
+    return found.select("token", F.coalesce("spelling", "form").alias("spelling"), F.col("spelling").isNotNull().alias("known"), "form")
 
 
 def rewrite(text: str, spelling: dict[str, str]) -> str:
@@ -304,11 +384,11 @@ def rewrite(text: str, spelling: dict[str, str]) -> str:
     return _BY_BETWEEN.apply(_FOREIGN.sub(one, text))
 
 
-def canonical(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_tokens: int = 400_000, budget: int = 0) -> DataFrame:
+def canonical(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_tokens: int = 400_000, budget: float = BUDGET) -> DataFrame:
     """``id_col``, ``text`` (the input) and ``canonical`` for every row.
 
-    Null stays null and an empty text empty; null and repeated ids are kept.  Texts are equal in ``canonical``
-    exactly if they look the same (with ``budget`` 0).  The dictionary of
+    Null stays null and an empty text empty; null and repeated ids are kept.  Texts that look
+    the same by the table are equal in ``canonical``, whatever the ``budget``.  The dictionary of
     changed spellings is broadcast if it has at most ``broadcast_tokens``
     entries; beyond that each text is joined with the spellings of its own
     tokens, which a text bounds.
@@ -348,30 +428,47 @@ def canonical(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return keyed.join(own, "_row", "left").select(id_col, "text", apply("text", "names").alias("canonical"))
 
 
-def visible(col) -> "F.Column":  # noqa: ANN001
+def visible(col: Column) -> Column:
     """Whether a canonical text has anything to see."""
     return F.coalesce(col.rlike(r"\S"), F.lit(False))
 
 
+def _looks(documents: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:  # noqa: ANN003
+    """``doc``, ``look`` and ``text``: 128-bit digests of the canonical and the given form of what has something to see."""
+    forms = canonical(documents, id_col, text_col, **options)
+
+    def digest(name: str) -> Column:
+        return F.struct(F.xxhash64(name).alias("a"), F.xxhash64(F.lit(11), F.col(name)).alias("b"))
+
+    shown = forms.where(visible(F.col("canonical"))).where(F.col(id_col).isNotNull())
+    return materialise(shown.select(F.col(id_col).alias("doc"), digest("canonical").alias("look"), digest("text").alias("text")), "looks")
+
+
 def same_look(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:  # noqa: ANN003
     """Pairs (``doc_id_a`` < ``doc_id_b``) of texts that differ only in characters that look the same.
 
-    Texts are compared by 128-bit digests of the canonical and the given form;
-    what shuffles is a few longs a row.  Only groups with two or more different
-    texts are paired, and never two exact copies of each other.  Null ids, null texts
+    Texts are compared by digests; what shuffles is a few longs a row.  Only groups
+    with two or more different texts are paired, and never two exact copies of each
+    other; ``looks_alike`` gives the same as classes.  Null ids, null texts
     and texts with nothing to see are in no pair; a repeated id gives a pair once.
     """
-    forms = canonical(documents, id_col, text_col, **options)
-    marks = forms.where(visible(F.col("canonical"))).where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc"),
-        F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(11), F.col("canonical")).alias("c2"),
-        F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(11), F.col("text")).alias("t2"),
-    )
-    marks = materialise(marks, "looks")
-    both = F.struct("t1", "t2")
-    mixed = marks.groupBy("c1", "c2").agg(F.min(both).alias("lo"), F.max(both).alias("hi")).where("lo != hi").select("c1", "c2")
-    kept = marks.join(F.broadcast(mixed) if small(mixed) else mixed, ["c1", "c2"], "left_semi")
+    marks = _looks(documents, id_col, text_col, **options)
+    mixed = marks.groupBy("look").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo != hi").select("look")
+    kept = marks.join(F.broadcast(mixed) if small(mixed) else mixed, "look", "left_semi")
     a, b = kept.alias("a"), kept.alias("b")
-    return a.join(b, (F.col("a.c1") == F.col("b.c1")) & (F.col("a.c2") == F.col("b.c2")) & (F.col("a.doc") < F.col("b.doc")) & (F.struct("a.t1", "a.t2") != F.struct("b.t1", "b.t2"))).select(
+    return a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.text") != F.col("b.text"))).select(
         F.col("a.doc").alias("doc_id_a"), F.col("b.doc").alias("doc_id_b")
     ).distinct()
+
+
+def looks_alike(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:  # noqa: ANN003
+    """Classes of texts that look the same: ``id_col``, ``class_id`` (the smallest id), ``docs`` and ``texts`` (different ones) of the class.
+
+    One row a document, whatever the size of its class; the rows of ``same_look`` are the
+    pairs within classes of two or more texts.  Null ids and texts with nothing to
+    see have no row; a repeated id has one row for each class it is in.
+    """
+    marks = _looks(documents, id_col, text_col, **options)
+    texts = marks.groupBy("look", "text").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
+    classes = texts.groupBy("look").agg(F.min("doc").alias("class_id"), F.sum("n").alias("docs"), F.count("*").alias("texts"))
+    return lookup(marks, classes, ["look"], weight="docs").select(F.col("doc").alias(id_col), "class_id", "docs", "texts").distinct()

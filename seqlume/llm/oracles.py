@@ -84,6 +84,15 @@ SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON
 """
 
 
+def _look_classes() -> str:
+    return f"""
+WITH c AS (SELECT doc_id, text, {_look('text')} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+v AS (SELECT * FROM c WHERE regexp_matches(form, '[^\\s]')),
+g AS (SELECT form, min(doc_id) AS class_id, count(*) AS docs, count(DISTINCT text) AS texts FROM v GROUP BY form)
+SELECT DISTINCT doc_id, class_id, docs, texts FROM v JOIN g USING (form)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT read_idx, span_start, span_end FROM found",
@@ -97,4 +106,5 @@ SELECT r.read_idx, r.length, coalesce(f.shared, 0) AS shared_bases, coalesce(f.s
         "p6_frequent": _frequent(0.001, "sequence, n, round(n / total, 9) AS share"),
         "p8_found": _leaks(),
         "p9_found": _same_look(),
+        "p9_classes": _look_classes(),
     }

@@ -174,7 +174,12 @@ def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
     return forms.select("doc_id", F.md5("canonical").alias("form"), F.length("canonical").alias("length"), F.coalesce(F.col("canonical") != F.col("text"), F.lit(False)).alias("changed"))
 
 
+def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """For every document with something to see the class of texts that look the same."""
+    return lookalike.looks_alike(load(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_shared, p1_passages, p2_distinct, p4_lengths, p4_columns, p5_found, p5_rates, p5_disproved, p5_counts, p6_found, p6_frequent, p7_ids, p8_found, p8_reparameterised, p9_found, p9_forms,
+        p1_found, p1_shared, p1_passages, p2_distinct, p4_lengths, p4_columns, p5_found, p5_rates, p5_disproved, p5_counts, p6_found, p6_frequent, p7_ids, p8_found, p8_reparameterised, p9_found, p9_forms, p9_classes,
     )}

@@ -91,3 +91,36 @@ def test_canonical_spelling_comes_from_the_vocabulary(spark):
 
 def test_empty_table(spark):
     assert pairs(spark, []) == set()
+
+
+def test_tries_and_table_disagree(spark):
+    # A palochka is read as I by the table; the vocabulary knows the word with l.
+    texts = [(1, "hello hello world"), (2, "heӀӀo world"), (3, "heІІo"), (4, "Iong"), (5, "Ӏong"), (6, "long"), (7, "xӀx"), (8, "he​ІIo")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.canonical for r in lookalike.canonical(df).collect()}
+    assert lookalike.by_table("heӀӀo") == "heIIo" and got[2] == "hello world" and got[3] == got[8] == "hello"
+    assert got[5] == "Iong"  # the first reading is in the vocabulary, so it wins
+    assert got[7] == "xIx"  # in no vocabulary: by table
+    by_table_only = {r.doc_id: r.canonical for r in lookalike.canonical(df, budget=0).collect()}
+    assert by_table_only[2] == "heIIo world"
+
+
+@pytest.mark.parametrize("words", [1, 3, 10**6])
+def test_edits_meet_every_word(spark, monkeypatch, words):
+    monkeypatch.setattr(lookalike, "TRIE_WORDS", words)
+    df = spark.createDataFrame([(t, 1) for t in ("paypal", "office", "zebra", "рayрol", "оffce", "ѕebra", "рaypаl")], "token string, n long")
+    got = {r.token: (r.spelling, r.known) for r in lookalike.spellings(df, budget=1).collect()}
+    assert got == {"рayрol": ("paypal", True), "оffce": ("office", True), "ѕebra": ("zebra", True), "рaypаl": ("paypal", True)}
+
+
+def test_classes(spark):
+    texts = [(1, "cop"), (2, "сор"), (3, "cop"), (4, "other"), (5, None), (6, " "), (None, "cop"), (7, "сoр")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {tuple(r) for r in lookalike.looks_alike(df).collect()}
+    assert got == {(1, 1, 4, 3), (2, 1, 4, 3), (3, 1, 4, 3), (7, 1, 4, 3), (4, 4, 1, 1)}
+    assert lookalike.looks_alike(df.where("false")).count() == 0
+
+
+def test_long_tokens_go_by_table(spark):
+    texts = [(1, "e" * 101), (2, "е" * 101), (3, "е" * 101 + "​")]
+    assert pairs(spark, texts) == {(1, 2), (1, 3), (2, 3)}
