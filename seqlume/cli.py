@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from seqlume import report
 from seqlume.plans.ship import ship
-from seqlume.sources import small
+from seqlume.sources import defaults, small
 from seqlume.sources.bam import read_bam
 from seqlume.sources.fastq import read_fastq
 
@@ -24,8 +24,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--html", help="name of the HTML report (default: input name and .html)")
     p.add_argument("--outdir", "--dir", "--out-dir", default=".", help="folder of the reports")
     p.add_argument("--images-zip", nargs="?", const="", help="also write the pictures as an archive")
-    p.add_argument("--adapter-file", help="tab-separated list: name, technology, sequence, start or end")
-    p.add_argument("--library", action="append", default=[], help="FASTA file of known sequences (may be repeated)")
+    p.add_argument("--adapter-file", help="tab-separated list: name, technology, sequence, start or end (default: common adapters)")
+    p.add_argument("--library", action="append", default=[], help="FASTA file of known sequences (may be repeated; default: published adapters and primers)")
     p.add_argument("--overrepresentation-threshold-fraction", type=float, default=0.001)
     p.add_argument("--overrepresentation-min-threshold", type=int, default=100)
     p.add_argument("--overrepresentation-max-threshold", type=int, default=(1 << 63) - 1)
@@ -67,8 +67,8 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     first = read_bam(spark, args.input) if bam else read_fastq(spark, args.input)
     second = read_fastq(spark, args.input_reverse) if args.input_reverse else None
-    adapters = [(n, s.upper(), p) for n, _, s, p in small.adapters(args.adapter_file, kind)] if args.adapter_file else []
-    library = small.library(spark, args.library) if args.library else None
+    adapters = [(n, s.upper(), p) for n, _, s, p in (small.adapters(args.adapter_file, kind) if args.adapter_file else defaults.adapters(kind))]
+    library = small.library(spark, args.library) if args.library else small.known_library(spark)
     options = report.Options(
         args.overrepresentation_threshold_fraction, args.overrepresentation_min_threshold, args.overrepresentation_max_threshold, args.overrepresentation_max_unique_fragments,
         args.overrepresentation_fragment_length, args.overrepresentation_sample_every, args.overrepresentation_bases_from_start, args.overrepresentation_bases_from_end,

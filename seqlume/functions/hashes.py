@@ -71,9 +71,12 @@ def wang(x: np.ndarray) -> np.ndarray:
     """Thomas Wang's mix of 64-bit numbers: steps that each can be undone."""
     x = x.astype(np.uint64)
     with np.errstate(over="ignore"):
-        for by, factor in ((24, (1 << 21) - 1), (14, 265), (28, 21)):
-            x = x * np.uint64(factor) - np.uint64(by == 24)
-            x ^= x >> np.uint64(by)
+        x = x * np.uint64((1 << 21) - 1) - np.uint64(1)
+        x ^= x >> np.uint64(24)
+        x = x * np.uint64(265)
+        x ^= x >> np.uint64(14)
+        x = x * np.uint64(21)
+        x ^= x >> np.uint64(28)
         return x * np.uint64(1 + (1 << 31))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from seqlume.functions.columns import ERROR_UNIT, ERRORS
 from seqlume.plans.arrow import group_codes, text_bytes
 from seqlume.plans.bins import bin_index, bins_for
+from seqlume.plans.scratch import materialise
 
 END = 100
 BASES = "ACGTN"
@@ -150,9 +151,10 @@ def longest_read(positions: DataFrame) -> int:
 
 def binned(profiled: DataFrame, kind: str, by: list[str], longest: int | None = None) -> DataFrame:
     """``by``, ``bin``, ``code``, ``n``: positions brought together for reads up to ``longest``."""
+    if longest is None:  # the counts are read twice, the reads once
+        profiled = materialise(profiled, "profile")
+        longest = longest_read(profiled.where(F.col("kind") == kind))
     part = profiled.where(F.col("kind") == kind)
-    if longest is None:
-        longest = longest_read(part)
     stops = [stop for _, stop in bins_for(longest)] if longest else [1]
     return part.groupBy(*by, bin_index(F.col("pos"), stops).alias("bin"), "code").agg(F.sum("n").alias("n"))
 
@@ -238,6 +240,7 @@ def tile_errors(reads: DataFrame, tile: Column, by: list[str] | None = None) ->
 def tile_deviation(errors: DataFrame, by: list[str], longest: int | None = None) -> DataFrame:
     """Mean score of each tile and bin less the mean over all tiles: ``deviation``."""
     if longest is None:
+        errors = materialise(errors, "errors")
         longest = longest_read(errors)
     stops = [stop for _, stop in bins_for(longest)] if longest else [1]
     mean = F.sum("error") / 1e9 / F.greatest(F.sum("n"), F.lit(1))

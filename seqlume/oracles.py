@@ -213,7 +213,7 @@ SELECT mate, CAST(round_even(coalesce(list_sum(list_transform(str_split(nullif(f
         "adapter_presence": f"WITH a AS (SELECT DISTINCT regexp_replace(upper(sequence), '[^ACGT]', 'N', 'g') AS b FROM adapters WHERE length(sequence) > 0), e AS (SELECT b FROM a UNION ALL SELECT {_RC.format('b')} FROM a), p AS (SELECT regexp_replace(upper(sequence), '[^ACGT]', 'N', 'g') AS s FROM prior_sequences WHERE length(sequence) > 0) SELECT b AS adapter, count(*) AS n FROM e, p WHERE contains(s, b) GROUP BY 1",
         "pair_fingerprint_counts": _MATES + " SELECT left(s1, 8) || left(s2, 8) AS bases, CAST((length(s1) + length(s2)) >> 6 AS INT) AS length_class, count(*) AS n FROM mt WHERE read_idx1 IS NOT NULL AND read_idx2 IS NOT NULL AND s1 <> '-' AND s2 <> '-' GROUP BY ALL",
         "mate_join": _MATES + " SELECT run_id, sample, template, read_idx1, read_idx2, CASE WHEN read_idx2 IS NULL THEN 'read 1 only' WHEN read_idx1 IS NULL THEN 'read 2 only' END AS problem FROM mt",
-        "mate_zip": """WITH z AS (SELECT read_idx // 2 AS k, min(name) FILTER (WHERE mate = 1) AS a, min(name) FILTER (WHERE mate = 2) AS b, count(*) FILTER (WHERE mate = 1) AS na, count(*) FILTER (WHERE mate = 2) AS nb FROM short_reads GROUP BY 1),
+        "mate_zip": """WITH z AS (SELECT read_idx // 2 AS k, (min({'i': read_idx, 'n': name}) FILTER (WHERE mate = 1)).n AS a, (min({'i': read_idx, 'n': name}) FILTER (WHERE mate = 2)).n AS b, count(*) FILTER (WHERE mate = 1) AS na, count(*) FILTER (WHERE mate = 2) AS nb FROM short_reads GROUP BY 1),
 i AS (SELECT na, nb, regexp_extract(a, '^[^ \\t]*') AS x, regexp_extract(b, '^[^ \\t]*') AS y FROM z WHERE na + nb > 0)
 SELECT CASE WHEN nb = 0 THEN 'read 1 only' WHEN na = 0 THEN 'read 2 only' WHEN NOT coalesce(x = y OR (regexp_matches(x, '[12]$') AND regexp_matches(y, '[12]$') AND regexp_replace(x, '[12]$', '') = regexp_replace(y, '[12]$', '')), false) THEN 'names differ' END AS problem, count(*) AS n FROM i GROUP BY 1""",
         "insert_sizes": _PAIRS + ' SELECT ins AS "insert", count(*) AS n FROM sz GROUP BY ALL',

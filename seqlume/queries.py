@@ -340,9 +340,9 @@ def mate_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def mate_zip(spark: SparkSession, sf: str) -> DataFrame:
     """J-1, S-4: rows of either mate zipped by their place in the table, with the problems found."""
-    short = _short(spark, sf).withColumn("read_idx", F.floor(F.col("read_idx") / 2))
-    first = short.where("mate = 1").groupBy("read_idx").agg(F.min("name").alias("name"), F.min("sequence").alias("sequence"), F.min("qualities").alias("qualities"))
-    second = short.where("mate = 2").groupBy("read_idx").agg(F.min("name").alias("name"), F.min("sequence").alias("sequence"), F.min("qualities").alias("qualities"))
+    short = _short(spark, sf).withColumn("at", F.col("read_idx")).withColumn("read_idx", F.floor(F.col("read_idx") / 2))
+    whole = F.min(F.struct("at", "name", "sequence", "qualities")).alias("r")  # of rows with one place the first, as a whole
+    first, second = (short.where(F.col("mate") == m).groupBy("read_idx").agg(whole).select("read_idx", "r.name", "r.sequence", "r.qualities") for m in (1, 2))
     return pairs.zipped(first, second).groupBy("problem").agg(F.count("*").alias("n"))
 
 

@@ -110,7 +110,6 @@ def _whole_reads(facts: DataFrame, longest: int, bins: list[tuple[int, int]]) ->
     distribution = reads.length_distribution(counts, [], longest).collect()
     gc = _dense(reads.gc_histogram(facts, []).collect(), 101, "gc", "n")
     scores = _dense(reads.phred_histogram(facts, []).collect(), 94, "phred", "n")
-    limits = {f"q{r.limit}": r.fraction for r in reads.above_limits(facts, []).collect()}
     return {
         "summary": overview,
         "sequence_length_distribution": {
@@ -121,7 +120,7 @@ def _whole_reads(facts: DataFrame, longest: int, bins: list[tuple[int, int]]) ->
             "gc_content_counts": gc, "smoothened_gc_content_counts": [sum(gc[i : i + 2]) for i in range(0, 101, 2)],
             "x_labels": [str(i) for i in range(101)], "smoothened_x_labels": [str(i) for i in range(0, 101, 2)],
         },
-        "per_sequence_quality_scores": {"average_quality_counts": scores, "x_labels": [str(i) for i in range(94)], "reads_above": limits},
+        "per_sequence_quality_scores": {"average_quality_counts": scores, "x_labels": [str(i) for i in range(94)]},
     }
 
 
@@ -257,7 +256,7 @@ def build(first: DataFrame, second: DataFrame | None = None, adapters: list[tupl
     found: dict[str, dict] = {"meta": meta}
     own, longest, bins = _one_file(first, library, o)
     if second is None:
-        found |= own
+        found |= {k: v | {"read_pair_info": None} for k, v in own.items()}
         found["adapter_content"] = _adapter_content(first, adapters or [], longest, bins)
         offsets = (64 if o.front_offset is None else o.front_offset, 0 if o.back_offset is None else o.back_offset)
         prints = dedup.fingerprint_counts(first, C.fingerprint(F.coalesce("sequence", F.lit("")), o.front_length, o.back_length, *offsets), [])
@@ -292,6 +291,10 @@ def write_json(report: dict[str, dict], path: str, indent: int | None = None) ->
         json.dump(report, out, indent=indent)
 
 
+#: Percent of reads that an adapter must reach to be drawn.
+LEGEND_LEAST = 0.1
+
+
 def _lines_svg(title: str, series: list[tuple[str, list[float]]], width: int = 720, height: int = 260) -> str:
     """Polylines of a few series over one axis."""
     longest = max([len(v) for _, v in series], default=0)
@@ -312,7 +315,11 @@ def plots(report: dict[str, dict]) -> dict[str, str]:
         for field, value in content.items():
             name = f"{section}_{field}"
             if isinstance(value, list) and value and all(isinstance(v, list) and len(v) == 2 and isinstance(v[1], list) for v in value):
-                found[name] = _lines_svg(name.replace("_", " "), [(str(n), v) for n, v in value])
+                shown = [(str(n), v) for n, v in value]
+                if section == "adapter_content":  # adapters that reach a tenth of a percent, the most frequent first
+                    shown = sorted((x for x in shown if max(x[1], default=0) >= LEGEND_LEAST), key=lambda x: -max(x[1]))
+                if shown:
+                    found[name] = _lines_svg(name.replace("_", " "), shown)
             elif isinstance(value, list) and value and all(isinstance(v, list) and v and all(isinstance(x, int | float) for x in v) and len(v) > 2 for v in value):
                 found[name] = _lines_svg(name.replace("_", " "), [(str(i), v) for i, v in enumerate(value)])
             elif isinstance(value, dict) and value and all(isinstance(v, list) for v in value.values()):

@@ -39,7 +39,7 @@ def _exactly(stream, size: int) -> bytes:  # noqa: ANN001
     while len(found) < size:
         more = stream.read(size - len(found))
         if not more:
-            raise EOFError("Truncated BAM file")
+            raise EOFError("the file ends early: truncated BAM")
         found += more
     return found
 
@@ -48,7 +48,7 @@ def read_references(stream) -> tuple[str, int]:  # noqa: ANN001
     """The header's text and the number of references; the stream is then at the first record."""
     first = _exactly(stream, 8)
     if first[:4] != b"BAM\x01":
-        raise ValueError(f"not a BAM file. No BAM magic, instead found: {first!r}")
+        raise ValueError(f"not a BAM file: it begins with {first!r}")
     text = _exactly(stream, struct.unpack("<I", first[4:])[0])
     references = struct.unpack("<I", _exactly(stream, 4))[0]
     for _ in range(references):
@@ -107,11 +107,11 @@ class Blocks:
             head_bytes = self.raw.read(min(1 << 16, self.size - self.next))
             size = block_size(head_bytes)
             if size is None:
-                raise ValueError("broken block in BAM file")
+                raise ValueError("a compressed block is broken")
             if len(head_bytes) < size:
                 head_bytes += self.raw.read(size - len(head_bytes))
             if len(head_bytes) < size:
-                raise EOFError("Truncated BAM file")
+                raise EOFError("the file ends early: truncated BAM")
             extra = struct.unpack_from("<H", head_bytes, 10)[0]
             data = zlib.decompress(head_bytes[12 + extra : size - 8], -15)
             offset, self.next = self.next, self.next + size
@@ -264,13 +264,13 @@ def records(stream, done=lambda: False) -> Iterator[tuple[bytes, bytes, bytes, b
         while len(first) < 4:
             more = stream.read(4 - len(first))
             if not more:
-                raise EOFError(f"Incomplete record at the end of file {first!r}")
+                raise EOFError(f"the file ends in an incomplete record: {first!r}")
             first += more
         size = struct.unpack("<I", first)[0]
         try:
             body = _exactly(stream, size)
         except EOFError:
-            raise EOFError("Incomplete record at the end of file") from None
+            raise EOFError("the file ends in an incomplete record") from None
         name_size, _, _, cigar, flag, length = struct.unpack_from("<BBHHHI", body, 8)
         if flag & (SECONDARY | SUPPLEMENTARY):
             continue
@@ -331,7 +331,7 @@ def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) ->
     spark.dataSource.register(BamSource)
     raw = spark.read.format("bam").option("path", path).option("splitBytes", split_bytes).load()
     one = all(s.number == 0 for s in plan(path, split_bytes))
-    records = raw.withColumn("read_idx", F.col("row")) if one else numbered(raw)
+    records = raw.withColumn("read_idx", F.col("row")) if one else numbered(raw, raw.groupBy("path", "split").agg(F.count("*").alias("n")))
     return records.select(
         "read_idx", F.element_at(F.split("path", "/"), -1).alias("sample"), "path", "name", "sequence", "qualities", "tags",
         F.col("ch").alias("channel"), F.try_to_timestamp(F.col("st")).alias("start_time"), F.col("du").alias("duration"), F.when(uuid_valid(F.col("pi")), F.col("pi")).alias("parent_id"),

@@ -7,16 +7,18 @@ files are read by one task each.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqlume.sources.splits import SPLIT_BYTES, Split, open_binary, plan
 
+COUNTS = "path string, split int, n long"
 SCHEMA = "path string, split int, row long, name string, sequence string, qualities string, tags binary"
 BLOCK = 8 << 20
 
@@ -29,7 +31,7 @@ def parse(block: bytes) -> tuple[list[bytes], list[bytes], list[bytes], int]:
     data = np.frombuffer(block, np.uint8)
     if len(data) and data.max() > 127:
         at = int(np.argmax(data > 127))
-        raise ValueError(f"Found non-ASCII character in file: {chr(data[at])}")
+        raise ValueError(f"only ASCII is allowed; byte {at} is a non-ASCII character ({chr(data[at])})")
     ends = np.flatnonzero(data == 10)
     if len(ends) and ends[0] and (data[ends[ends > 0] - 1] == 13).any():
         raise ValueError("Lines end in carriage return and line feed; only line feeds are allowed")
@@ -37,17 +39,17 @@ def parse(block: bytes) -> tuple[list[bytes], list[bytes], list[bytes], int]:
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.empty(0, np.int64)
     # Also an unfinished record is checked as far as it goes.
     heads = np.append(starts[::4], (ends[-1] + 1) if len(ends) and len(ends) % 4 == 0 else []) if len(ends) else np.array([0])
-    for which, places, sign in (("Record does not start with @", heads, 64), ("Record second header does not start with +", np.append(starts[2::4], (ends[-1] + 1) if len(ends) % 4 == 2 else []), 43)):
+    for which, places, sign in (("a record should start with @", heads, 64), ("the third line of a record should start with +", np.append(starts[2::4], (ends[-1] + 1) if len(ends) % 4 == 2 else []), 43)):
         places = places[places < len(data)].astype(np.int64)
         wrong = places[data[places] != sign]
         if len(wrong):
-            raise ValueError(f"{which} but with {chr(data[wrong[0]])}")
+            raise ValueError(f"{which} but with {chr(data[wrong[0]])} this one does")
     s, e = starts[: whole * 4].reshape(-1, 4), ends[: whole * 4].reshape(-1, 4)
     size = e - s
     uneven = np.flatnonzero(size[:, 1] != size[:, 3]) if whole else []
     if len(uneven):
         i = int(uneven[0])
-        raise ValueError(f"Record sequence and qualities do not have equal length, {block[s[i, 0] + 1 : e[i, 0]].decode('ascii')!r}")
+        raise ValueError(f"sequence and qualities must have equal length; they have not in {block[s[i, 0] + 1 : e[i, 0]].decode('ascii')!r}")
     columns = [[block[a:b] for a, b in zip((s[:, i] + skip).tolist(), e[:, i].tolist(), strict=True)] for i, skip in ((0, 1), (1, 0), (3, 0))]
     return columns[0], columns[1], columns[2], int(e[-1, 3]) + 1 if whole else 0
 
@@ -69,24 +71,53 @@ def first_record(block: bytes) -> int | None:
     return None
 
 
+def _begin(stream: io.BufferedIOBase, start: int) -> int | None:
+    """Where the first record at or after ``start`` begins, or None if none does."""
+    if not start:
+        return 0
+    # One byte earlier, so that a record that begins right at the start is seen as following a line end.
+    stream.seek(start - 1)
+    window = b""
+    while True:
+        more = stream.read(1 << 16)
+        window += more
+        skip = first_record(window)
+        if skip is not None or not more:
+            return None if skip is None else start - 1 + skip
+
+
+def count(split: Split) -> int:
+    """Records that begin within a split: the line ends between its first record and the next split's, without building rows."""
+    with open_binary(split.path, split.compression) as stream:
+        if split.compression:
+            lines = 0
+            while more := stream.read(BLOCK):
+                lines += more.count(b"\n")
+            return lines // 4
+        size = stream.seek(0, 2)
+        at = _begin(stream, split.start)
+        end = _begin(stream, split.stop) if split.stop < size else size
+        if at is None or at >= split.stop:
+            return 0
+        end = size if end is None else end
+        stream.seek(at)
+        lines = 0
+        while at < end:
+            more = stream.read(min(BLOCK, end - at))
+            if not more:
+                break
+            lines += more.count(b"\n")
+            at += len(more)
+        return lines // 4
+
+
 def blocks(split: Split) -> Iterator[tuple[list[bytes], list[bytes], list[bytes]]]:
     """The records that begin within a split, block by block."""
     with open_binary(split.path, split.compression) as stream:
         rest, at = b"", split.start
-        # One byte earlier, so that a record that begins right at the start is seen as following a line end.
         if split.start:
-            stream.seek(split.start - 1)
-            window = b""
-            while True:
-                more = stream.read(1 << 16)
-                window += more
-                skip = first_record(window)
-                if skip is not None or not more:
-                    break
-            if skip is None:
-                return
-            at = split.start - 1 + skip
-            if at >= split.stop:
+            at = _begin(stream, split.start)
+            if at is None or at >= split.stop:
                 return
             stream.seek(at)
         while True:
@@ -112,7 +143,7 @@ def blocks(split: Split) -> Iterator[tuple[list[bytes], list[bytes], list[bytes]
                 return
             if not more:
                 if rest:
-                    raise EOFError(f"Incomplete record at the end of file {rest[:2000].decode('ascii', 'replace')}")
+                    raise EOFError(f"the file ends in an incomplete record: {rest[:2000].decode('ascii', 'replace')}")
                 return
 
 
@@ -140,50 +171,55 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
+        self.counts = options.get("counts") == "true"
 
     def partitions(self) -> list[InputPartition]:
         return [_Partition(s) for s in plan(self.path, self.split_bytes)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         split, row = partition.value, 0
+        if self.counts:
+            yield pa.RecordBatch.from_arrays([pa.array([split.path]), pa.array([split.number], pa.int32()), pa.array([count(split)])], names=["path", "split", "n"])
+            return
         for names, sequences, qualities in blocks(split):
             yield to_batch(split.path, split.number, row, names, sequences, qualities)
             row += len(names)
 
 
 class FastqSource(DataSource):
-    """Options: ``path`` (file, folder or pattern) and ``splitBytes``."""
+    """Options: ``path`` (file, folder or pattern), ``splitBytes``, and ``counts`` for the number of records by split only."""
 
     @classmethod
     def name(cls) -> str:
         return "fastq"
 
     def schema(self) -> str:
-        return SCHEMA
+        return COUNTS if dict(self.options).get("counts") == "true" else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(dict(self.options))
 
 
-def numbered(records: DataFrame) -> DataFrame:
+def numbered(records: DataFrame, counts: DataFrame) -> DataFrame:
     """``records`` with ``read_idx``, the place of a record in its file.
 
-    Records of splits are counted, and each split's start is the sum of those
-    before it: one small table, a row a split.
+    ``counts`` has ``path``, ``split`` and ``n``, the records of each split.  A split
+    starts after those before it: one small table, three numbers for each 128 MB
+    of input, which is broadcast.  Nothing runs before the result is asked for.
     """
-    counts = records.groupBy("path", "split").agg(F.count("*").alias("n")).collect()  # a row for each 128 MB
-    starts, base = [], {}
-    for row in sorted(counts, key=lambda r: (r.path, r.split)):
-        starts.append((row.path, row.split, base.get(row.path, 0)))
-        base[row.path] = base.get(row.path, 0) + row.n
-    table = records.sparkSession.createDataFrame(starts, "path string, split int, base long")
-    return records.join(F.broadcast(table), ["path", "split"]).withColumn("read_idx", F.col("base") + F.col("row")).drop("base")
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.xxhash64("path").alias("_file"), "split", "base")
+    tagged = records.withColumn("_file", F.xxhash64("path"))
+    return tagged.join(F.broadcast(starts), ["_file", "split"]).withColumn("read_idx", F.col("base") + F.col("row")).drop("base", "_file")
 
 
 def read_fastq(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Reads of FASTQ files with ``read_idx``, and ``sample``, the file's name."""
     spark.dataSource.register(FastqSource)
     raw = spark.read.format("fastq").option("path", path).option("splitBytes", split_bytes).load()
-    one = all(s.number == 0 for s in plan(path, split_bytes))
-    records = raw.withColumn("read_idx", F.col("row")) if one else numbered(raw)
+    if all(s.number == 0 for s in plan(path, split_bytes)):
+        records = raw.withColumn("read_idx", F.col("row"))
+    else:
+        counts = spark.read.format("fastq").option("path", path).option("splitBytes", split_bytes).option("counts", "true").load()
+        records = numbered(raw, counts)
     return records.withColumn("sample", F.element_at(F.split("path", "/"), -1))

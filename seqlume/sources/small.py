@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from seqlume.sources.bam import read_header
+from seqlume.sources.defaults import known_sequences
 from seqlume.sources.splits import compression_of, expand, open_binary
 
 
@@ -38,19 +41,19 @@ def library(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.createDataFrame(list(entries.items()), "name string, sequence string")
 
 
+def known_library(spark: SparkSession) -> DataFrame:
+    """``name`` and ``sequence`` of the known sequences that come with the package."""
+    return spark.createDataFrame(list(known_sequences().items()), "name string, sequence string")
+
+
 def adapters(path: str, technology: str | None = None) -> list[tuple[str, str, str, str]]:
     """(name, technology, sequence, position) of a tab-separated list with # comments."""
-    found = []
-    for line in _lines(path):
-        line = line.strip()
-        if not line or line.startswith("#"):
-            continue
-        name, kind, sequence, position = line.split("\t")
-        if position not in ("start", "end"):
-            raise ValueError(f"position must be start or end, got {position!r}.")
-        if technology is None or kind in (technology, "all"):
-            found.append((name, kind, sequence, position))
-    return found
+    kept = "\n".join(line for line in map(str.strip, _lines(path)) if line and line[0] != "#")
+    rows = [tuple(row) for row in csv.reader(io.StringIO(kept), "excel-tab", quoting=csv.QUOTE_NONE)]
+    odd = {row[3:] for row in rows} - {("start",), ("end",)}
+    if odd:
+        raise ValueError(f"adapters lie at the start or the end of a read; the list has {sorted(odd)}")
+    return [row for row in rows if technology is None or row[1] in (technology, "all")]
 
 
 def adapters_table(spark: SparkSession, path: str, technology: str | None = None) -> DataFrame:

@@ -72,3 +72,15 @@ def test_report_over_a_table(spark, data):
     got = report.build(df, adapters=[("a", "CGTGTATGGGCT", "end")])
     assert got["summary"]["total_reads"] == df.count()
     json.dumps(got)
+
+
+def test_adapters_and_known_sequences_by_default(spark, tmp_path):
+    adapter = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
+    content = "".join(f"@SIM:1:FC:1:{1000 + i}:{i}:9 1:N:0:2\n{adapter}\n+\n{'?' * 33}\n" for i in range(100)).encode()
+    got = run(tmp_path, content, "--overrepresentation-min-threshold", "5", "--overrepresentation-sample-every", "1")
+    assert dict(got["adapter_content"]["adapter_content"])["Illumina Universal Adapter"] == [100.0] * 33
+    assert len(got["adapter_content"]["adapter_content"]) == 6
+    assert all("TruSeq" in x["best_match"] for x in got["overrepresented_sequences"]["overrepresented_sequences"])
+    assert got["summary"]["read_pair_info"] is None and "reads_above" not in got["per_sequence_quality_scores"]
+    drawn = report.plots(got)["adapter_content_adapter_content"]
+    assert "Illumina Universal Adapter" in drawn and "PolyG" not in drawn

@@ -173,3 +173,28 @@ def test_fasta_and_adapters(spark, tmp_path):
 def test_technology_of_bam_headers():
     assert small.bam_technology("@HD\n@RG\tID:1\tPL:illumina\n@RG\tPL:Illumina\tDT:2020-01-01T00:00:00") == "illumina"
     assert small.bam_technology("@RG\tPL:PACBIO") is None
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 333, 1000, 10**6])
+def test_counts_of_splits_are_those_of_their_records(tmp_path, size):
+    path = tmp_path / "a.fastq"
+    path.write_bytes(text([record(i, "@+odd" if i % 3 == 0 else "r") for i in range(60)], "name"))
+    for split in splits.plan(str(path), size):
+        assert fastq.count(split) == sum(len(names) for names, _, _ in fastq.blocks(split))
+
+
+def test_reading_is_lazy(spark, tmp_path):
+    path = tmp_path / "a.fastq"
+    path.write_bytes(text([record(i) for i in range(50)]) + b"broken\n")
+    df = fastq.read_fastq(spark, str(path), split_bytes=500)  # nothing is parsed yet
+    assert "read_idx" in df.columns
+    with pytest.raises(Exception, match="start with @ but with b"):
+        df.collect()
+
+
+def test_defaults():
+    from seqlume.sources import defaults
+
+    assert {a[3] for a in defaults.ADAPTERS} == {"start", "end"} and all(len(a[2]) == 12 for a in defaults.ADAPTERS)
+    assert [a[0] for a in defaults.adapters("illumina")][:2] == ["Illumina Universal Adapter", "Illumina Small RNA 3' adapter"] and len(defaults.adapters()) == 20
+    assert all(set(s) <= set("ACGT") and len(s) >= 20 for s in defaults.known_sequences().values())
