@@ -18,6 +18,7 @@ _NORM = "coalesce(regexp_replace(upper(sequence), '[^ACGT]', 'N', 'g'), '')"
 _USABLE = "CASE WHEN length(sequence) = length(qualities) AND NOT regexp_matches(qualities, '[^!-~]') THEN qualities END"
 _SHORT = f"r AS (SELECT read_idx, run_id, sample, mate, name, {_NORM} AS s, {_USABLE} AS q FROM short_reads)"
 _LONG = f"r AS (SELECT read_idx, any_value(name) AS name, any_value({_NORM}) AS s, any_value({_USABLE}) AS q, any_value(channel) AS channel, any_value(start_time) AS start_time, any_value(duration) AS duration, any_value(parent_id) AS parent_id FROM long_reads GROUP BY read_idx)"
+_WRITABLE = "SELECT name, sequence, qualities FROM short_reads WHERE name IS NOT NULL AND length(sequence) = length(qualities)"
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 _BASE = "b AS (SELECT mate, length(s) AS len, CAST(i AS INT) AS pos, substr(s, CAST(i AS INT) + 1, 1) AS base FROM (SELECT mate, s, unnest(range(0, length(s))) AS i FROM r WHERE length(s) > 0))"
@@ -213,6 +214,14 @@ SELECT mate, CAST(round_even(coalesce(list_sum(list_transform(str_split(nullif(f
         "adapter_presence": f"WITH a AS (SELECT DISTINCT regexp_replace(upper(sequence), '[^ACGT]', 'N', 'g') AS b FROM adapters WHERE length(sequence) > 0), e AS (SELECT b FROM a UNION ALL SELECT {_RC.format('b')} FROM a), p AS (SELECT regexp_replace(upper(sequence), '[^ACGT]', 'N', 'g') AS s FROM prior_sequences WHERE length(sequence) > 0) SELECT b AS adapter, count(*) AS n FROM e, p WHERE contains(s, b) GROUP BY 1",
         "pair_fingerprint_counts": _MATES + " SELECT left(s1, 8) || left(s2, 8) AS bases, CAST((length(s1) + length(s2)) >> 6 AS INT) AS length_class, count(*) AS n FROM mt WHERE read_idx1 IS NOT NULL AND read_idx2 IS NOT NULL AND s1 <> '-' AND s2 <> '-' GROUP BY ALL",
         "mate_join": _MATES + " SELECT run_id, sample, template, read_idx1, read_idx2, CASE WHEN read_idx2 IS NULL THEN 'read 1 only' WHEN read_idx1 IS NULL THEN 'read 2 only' END AS problem FROM mt",
+        "source_fastq": _WRITABLE,
+        "source_fastq_gz": _WRITABLE,
+        "source_fastq_places": f"SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) AS BIGINT) AS places, true AS whole FROM ({_WRITABLE})",
+        "source_bam": """SELECT DISTINCT ON (read_idx) regexp_extract(name, '^[^ \\t]*') AS name, regexp_replace(upper(coalesce(sequence, '')), '[^=ACMGRSVTWYHKDBN]', 'N', 'g') AS sequence,
+CASE WHEN length(qualities) = length(coalesce(sequence, '')) THEN qualities ELSE repeat('!', length(coalesce(sequence, ''))) END AS qualities, coalesce(hex(tags), '') AS tags,
+CASE WHEN hex(tags) LIKE '636853%' THEN CAST('0x' || substr(hex(tags), 9, 2) || substr(hex(tags), 7, 2) AS INT) END AS channel FROM long_reads WHERE name IS NOT NULL""",
+        "source_fasta": "SELECT concat_ws(' ', trim(name), adapter_id) AS name, sequence FROM adapters",
+        "source_adapters": "SELECT trim(name) AS name, sequencing_technology, sequence, sequence_position FROM adapters WHERE sequencing_technology IN ('nanopore', 'all')",
         "mate_zip": """WITH z AS (SELECT read_idx // 2 AS k, (min({'i': read_idx, 'n': name}) FILTER (WHERE mate = 1)).n AS a, (min({'i': read_idx, 'n': name}) FILTER (WHERE mate = 2)).n AS b, count(*) FILTER (WHERE mate = 1) AS na, count(*) FILTER (WHERE mate = 2) AS nb FROM short_reads GROUP BY 1),
 i AS (SELECT na, nb, regexp_extract(a, '^[^ \\t]*') AS x, regexp_extract(b, '^[^ \\t]*') AS y FROM z WHERE na + nb > 0)
 SELECT CASE WHEN nb = 0 THEN 'read 1 only' WHEN na = 0 THEN 'read 2 only' WHEN NOT coalesce(x = y OR (regexp_matches(x, '[12]$') AND regexp_matches(y, '[12]$') AND regexp_replace(x, '[12]$', '') = regexp_replace(y, '[12]$', '')), false) THEN 'names differ' END AS problem, count(*) AS n FROM i GROUP BY 1""",

@@ -31,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, deleted with the scratch tables."""
+    path = f"{shared_folder(spark)}/seqlume-scratch/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return it read back.
 
@@ -38,9 +45,8 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     files are compressed columns, which later readers can prune.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/seqlume-scratch/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,6 +11,10 @@ from seqlume import oracles
 from seqlume.functions import columns as C
 from seqlume.operators import adapters as A
 from seqlume.operators import dedup, fragments, identify, nano, pairs, profile, reads, rejects
+from seqlume.plans.scratch import scratch_path
+from seqlume.sources import sinks, small
+from seqlume.sources.bam import read_bam
+from seqlume.sources.fastq import read_fastq
 from seqlume.tables import load
 
 BY = ["mate"]
@@ -454,6 +458,55 @@ def p3_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return rejects.accepted(load(spark, sf, "raw_records"))
 
 
+def _writable(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads that FASTQ can hold."""
+    return _short(spark, sf).where("name is not null and length(sequence) = length(qualities)").select("name", "sequence", "qualities")
+
+
+def _as_fastq(spark: SparkSession, sf: str, compression: str, split_bytes: int) -> DataFrame:
+    folder = scratch_path(spark, "fastq")
+    sinks.write_fastq(_writable(spark, sf), folder, compression)
+    return read_fastq(spark, folder, split_bytes)
+
+
+def source_fastq(spark: SparkSession, sf: str) -> DataFrame:
+    """S-1, S-3, S-20: short reads written as FASTQ and read back in small splits."""
+    return _as_fastq(spark, sf, "none", 1 << 20).select("name", "sequence", "qualities")
+
+
+def source_fastq_places(spark: SparkSession, sf: str) -> DataFrame:
+    """S-3: places of records in their files, which are numbered across splits without gaps."""
+    files = _as_fastq(spark, sf, "none", 1 << 20).groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("read_idx").alias("places"), F.max("read_idx").alias("last"))
+    return files.agg(F.sum("n").alias("records"), F.sum("places").alias("places"), F.bool_and(F.col("last") + 1 == F.col("n")).alias("whole"))
+
+
+def source_fastq_gz(spark: SparkSession, sf: str) -> DataFrame:
+    """S-1, S-2: short reads written as compressed FASTQ and read back."""
+    return _as_fastq(spark, sf, "gzip", 1 << 20).select("name", "sequence", "qualities")
+
+
+def source_bam(spark: SparkSession, sf: str) -> DataFrame:
+    """S-5, S-6, S-13: long reads written as BAM and read back in small splits."""
+    folder = scratch_path(spark, "bam")
+    own = _long(spark, sf).where("name is not null").select(C.read_id(F.col("name")).alias("name"), "sequence", "qualities", "tags")
+    sinks.write_bam(own, folder, "@HD\tVN:1.6\n@RG\tID:a\tPL:ONT\n")
+    return read_bam(spark, folder, 1 << 16).select("name", "sequence", "qualities", F.hex("tags").alias("tags"), "channel")
+
+
+def source_fasta(spark: SparkSession, sf: str) -> DataFrame:
+    """S-8: adapters written as FASTA and read back."""
+    folder = scratch_path(spark, "fasta")
+    sinks.write_fasta(load(spark, sf, "adapters").select(F.concat_ws(" ", F.trim("name"), "adapter_id").alias("name"), "sequence"), folder)
+    return small.library(spark, folder)
+
+
+def source_adapters(spark: SparkSession, sf: str) -> DataFrame:
+    """S-9: adapters written as a tab-separated list and read back for one technology."""
+    folder = scratch_path(spark, "adapters")
+    sinks.write_adapters(load(spark, sf, "adapters").withColumn("name", F.trim("name")), folder)
+    return small.adapters_table(spark, folder, "nanopore")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         base_counts, phred_counts, end_base_counts, end_phred_counts, front_base_counts, long_base_counts, gc_hist, gc_smooth, mean_phred_hist, q_thresholds, summary, summary_cube,
@@ -462,6 +515,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mate_fragment_counts, mate_fragment_totals, mate_fragment_first_come, mate_overrepresented, mate_kmer_match,
         fragment_counts, fragment_totals, fragment_first_come, overrepresented, fingerprint_counts, pair_fingerprint_counts, fingerprint_subsample, fingerprint_subsample_parity, fingerprint_errors, exact_duplicates, mean_phred_parity, adapter_presence, duplication_hist, duplication_remaining, duplication_buckets,
         mate_join, mate_zip, insert_sizes, overlap_adapters, top_adapter_per_length, nano_slots, nano_channels, translocation, split_reads, nano_skip, tech_sniff, canonical_kmers, kmer_match, seq_identity, header_fields,
+        source_fastq, source_fastq_places, source_fastq_gz, source_bam, source_fasta, source_adapters,
         p3_found, p3_loaded,
     )}
 

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqlume.functions.columns import uuid_valid
 from seqlume.sources.fastq import numbered
-from seqlume.sources.splits import SPLIT_BYTES, Split, compression_of, expand, filesystem, head, open_binary
+from seqlume.sources.splits import SPLIT_BYTES, Split, block_size, compression_of, expand, filesystem, head, open_binary
 
 SCHEMA = "path string, split int, row long, name string, sequence string, qualities string, tags binary, ch long, st string, du float, pi string"
 #: What the 4-bit codes of a sequence stand for, and the flags of records to skip.
@@ -61,19 +61,6 @@ def read_header(stream) -> str:  # noqa: ANN001
     return read_references(stream)[0]
 
 
-def block_size(data: bytes, at: int = 0) -> int | None:
-    """Bytes of the compressed block that begins at a place, or None if none does."""
-    if data[at : at + 4] != b"\x1f\x8b\x08\x04" or at + 18 > len(data):
-        return None
-    extra, field = struct.unpack_from("<H", data, at + 10)[0], at + 12
-    while field + 6 <= at + 12 + extra and field + 6 <= len(data):
-        size = struct.unpack_from("<H", data, field + 2)[0]
-        if data[field : field + 2] == b"BC" and size == 2:
-            return struct.unpack_from("<H", data, field + 4)[0] + 1
-        field += 4 + size
-    return None
-
-
 class Blocks:
     """A file of blocks as a stream of decompressed bytes that knows which block a byte is from."""
 
@@ -143,6 +130,12 @@ class Blocks:
         self.at += len(found)
         return found
 
+    def take(self) -> bytes:
+        """What is decompressed and not yet read."""
+        found = self.data[self.at :]
+        self.at = len(self.data)
+        return found
+
     def align(self, references: int, chain: int = 4) -> bool:
         """Go to the first place from which ``chain`` sound records, or all that are left, follow."""
         while True:

@@ -1,8 +1,8 @@
 """FASTQ files as a data source: ``spark.read.format("fastq").load(path)``.
 
 Plain files are cut into byte ranges; a task finds the first record that begins
-in its range and reads on to the end of the last one that does.  Compressed
-files are read by one task each.
+in its range and reads on to the end of the last one that does.  So are files of
+compressed blocks.  Other compressed files are read by one task each.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from seqlume.sources.splits import SPLIT_BYTES, Split, open_binary, plan
+from seqlume.sources.splits import BLOCKS, SPLIT_BYTES, Split, open_binary, plan
 
 COUNTS = "path string, split int, n long"
 SCHEMA = "path string, split int, row long, name string, sequence string, qualities string, tags binary"
@@ -86,8 +86,66 @@ def _begin(stream: io.BufferedIOBase, start: int) -> int | None:
             return None if skip is None else start - 1 + skip
 
 
+def _of_blocks(split: Split) -> Iterator[tuple[list[bytes], list[bytes], list[bytes]]]:
+    """Records of a range of compressed blocks.
+
+    A record belongs to the block that holds the byte before it, so a task knows
+    its first record by the first line end it sees.
+    """
+    from seqlume.sources.bam import Blocks
+
+    stream = Blocks(split.path, split.start)
+    if stream.next >= split.stop:
+        return
+    rest, outside, begun = b"", b"", not split.start
+    while stream.next < split.stop and stream.load():
+        piece = stream.take()
+        if stream.offsets[-1] >= split.stop:  # empty blocks are passed over
+            outside = piece
+            break
+        rest += piece
+        if not begun:
+            skip = first_record(rest)
+            if skip is None:
+                continue
+            rest, begun = rest[skip:], True
+        if len(rest) >= BLOCK:
+            names, sequences, qualities, used = parse(rest)
+            rest = rest[used:]
+            if names:
+                yield names, sequences, qualities
+    if not begun:  # the first record is told by lines of blocks to come
+        held, rest = len(rest), rest + outside
+        while (skip := first_record(rest)) is None and stream.load():
+            rest += stream.take()
+        if skip is None or skip > held:
+            return
+        rest, inside = rest[skip:], held - skip
+    else:
+        inside, rest = len(rest), rest + outside
+    # The last record goes on in the blocks that follow, or begins with them.
+    names, sequences, qualities, used = parse(rest[:inside])
+    if names:
+        yield names, sequences, qualities
+    rest, inside = rest[used:], inside - used
+    while rest.count(b"\n") < 4:
+        if not stream.load():
+            break
+        rest += stream.take()
+    if rest.count(b"\n") >= 4:
+        end = -1
+        for _ in range(4):
+            end = rest.index(b"\n", end + 1)
+        names, sequences, qualities, _ = parse(rest[: end + 1])
+        yield names, sequences, qualities
+    elif rest:
+        raise EOFError(f"the file ends in an incomplete record: {rest[:2000].decode('ascii', 'replace')}")
+
+
 def count(split: Split) -> int:
     """Records that begin within a split: the line ends between its first record and the next split's, without building rows."""
+    if split.compression == BLOCKS:
+        return sum(len(names) for names, _, _ in _of_blocks(split))
     with open_binary(split.path, split.compression) as stream:
         if split.compression:
             lines = 0
@@ -113,6 +171,9 @@ def count(split: Split) -> int:
 
 def blocks(split: Split) -> Iterator[tuple[list[bytes], list[bytes], list[bytes]]]:
     """The records that begin within a split, block by block."""
+    if split.compression == BLOCKS:
+        yield from _of_blocks(split)
+        return
     with open_binary(split.path, split.compression) as stream:
         rest, at = b"", split.start
         if split.start:

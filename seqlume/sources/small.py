@@ -15,9 +15,10 @@ from seqlume.sources.splits import compression_of, expand, open_binary
 
 
 def _lines(path: str) -> Iterator[str]:
-    with open_binary(path, compression_of(path)) as stream:
-        for line in stream.read().decode("utf-8").splitlines():
-            yield line
+    """Lines of a file, or of all files of a folder."""
+    for one in expand(path):
+        with open_binary(one, compression_of(one)) as stream:
+            yield from stream.read().decode("utf-8").splitlines()
 
 
 def fasta(path: str) -> Iterator[tuple[str, str]]:

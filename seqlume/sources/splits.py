@@ -6,12 +6,15 @@ import glob
 import gzip
 import io
 import os
+import struct
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
 
 SPLIT_BYTES = 128 << 20
+#: Gzip whose blocks can be read each on its own.
+BLOCKS = "blocks"
 #: The first bytes of compressed files.
 _MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bz2", b"\xfd7zXZ": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 
@@ -67,7 +70,7 @@ def open_binary(path: str, compression: str) -> io.BufferedIOBase:
     """The decompressed bytes of a file."""
     fs, inner = filesystem(path)
     raw = fs.open_input_file(inner)
-    if compression == "gzip":
+    if compression in ("gzip", BLOCKS):
         return gzip.GzipFile(fileobj=raw)
     if compression == "bz2":
         import bz2
@@ -84,13 +87,28 @@ def open_binary(path: str, compression: str) -> io.BufferedIOBase:
     return raw
 
 
+def block_size(data: bytes, at: int = 0) -> int | None:
+    """Bytes of the compressed block that begins at a place, or None if none does."""
+    if data[at : at + 4] != b"\x1f\x8b\x08\x04" or at + 18 > len(data):
+        return None
+    extra, field = struct.unpack_from("<H", data, at + 10)[0], at + 12
+    while field + 6 <= at + 12 + extra and field + 6 <= len(data):
+        size = struct.unpack_from("<H", data, field + 2)[0]
+        if data[field : field + 2] == b"BC" and size == 2:
+            return struct.unpack_from("<H", data, field + 4)[0] + 1
+        field += 4 + size
+    return None
+
+
 def plan(paths: str | Iterable[str], split_bytes: int = SPLIT_BYTES) -> list[Split]:
-    """Splits of plain files, and whole compressed files."""
+    """Splits of plain files and of files of compressed blocks, and other compressed files whole."""
     found = []
     for path in expand(paths):
         fs, inner = filesystem(path)
         size, kind = fs.get_file_info(inner).size, compression_of(path)
-        step = max(size, 1) if kind else split_bytes
+        if kind == "gzip" and block_size(head(path)):
+            kind = BLOCKS
+        step = split_bytes if kind in ("", BLOCKS) else max(size, 1)
         for number, start in enumerate(range(0, max(size, 1), step)):
             found.append(Split(path, number, start, min(size, start + step), kind))
     return found

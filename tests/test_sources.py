@@ -198,3 +198,33 @@ def test_defaults():
     assert {a[3] for a in defaults.ADAPTERS} == {"start", "end"} and all(len(a[2]) == 12 for a in defaults.ADAPTERS)
     assert [a[0] for a in defaults.adapters("illumina")][:2] == ["Illumina Universal Adapter", "Illumina Small RNA 3' adapter"] and len(defaults.adapters()) == 20
     assert all(set(s) <= set("ACGT") and len(s) >= 20 for s in defaults.known_sequences().values())
+
+
+@pytest.mark.parametrize("block", [30, 333, 5000, 60_000])
+@pytest.mark.parametrize("split", [40, 700, 5000, 10**6])
+def test_every_split_of_blocks_has_each_record_once(tmp_path, block, split):
+    records = [record(i, "@+odd" if i % 3 == 0 else "r") for i in range(120)]
+    path = tmp_path / "a.fastq.gz"
+    path.write_bytes(blocks_of(text(records), block) + blocks_of(text(records[:5], "name"), block))
+    got = []
+    for one in splits.plan(str(path), split):
+        assert one.compression == splits.BLOCKS
+        found = [(n.decode(), s.decode(), q.decode()) for names, sequences, qualities in fastq.blocks(one) for n, s, q in zip(names, sequences, qualities, strict=True)]
+        assert fastq.count(one) == len(found)
+        got += found
+    assert got == records + records[:5]
+    path.write_bytes(blocks_of(text(records)[:-9], block))
+    with pytest.raises(EOFError, match="ncomplete record"):
+        [list(fastq.blocks(s)) for s in splits.plan(str(path), split)]
+
+
+def test_sinks(spark, tmp_path):
+    from seqlume.sources import sinks
+
+    rows = [("a b", "ACGTn", "IIIII", b"chS\x05\x00"), ("c", "", "", None), ("d", "acg", None, b""), ("e", "ACx", "I", b"")]
+    df = spark.createDataFrame(rows, "name string, sequence string, qualities string, tags binary").repartition(2)
+    assert sum(n for _, n in sinks.write_bam(df, str(tmp_path / "bam"))) == 4
+    got = {r["name"]: (r["sequence"], r["qualities"], r.channel) for r in bam.read_bam(spark, str(tmp_path / "bam")).collect()}
+    assert got == {"a b": ("ACGTN", "IIIII", 5), "c": ("", "", None), "d": ("ACG", "!!!", None), "e": ("ACN", "!!!", None)}
+    with pytest.raises(Exception, match="cannot be written"):
+        sinks.write_fastq(df, str(tmp_path / "fastq"))
