@@ -115,16 +115,16 @@ def percentiles(parts: DataFrame, wanted: dict[str, float], whole: bool = False,
 def certified(estimates: DataFrame, rows: DataFrame, value: Column, keys: list[str], sets: list[list[str]], wanted: dict[str, float], weight: Column | None = None, reach: bool = False) -> DataFrame:
     """``estimates`` with ``<name>_rank_error``: the measured rank error of each estimate.
 
-    Counts equal values before anything shuffles, then how much lies below and
-    at each estimate.  The target rank is floor(q * total); the error is 0 if
-    a value of that rank equals the estimate, else its distance in ranks as a
+    The estimates are brought to the rows, and how much lies below and at each is
+    summed before anything shuffles; where the estimates are too many to broadcast the
+    rows of a large group are spread.  The target rank is floor(q * total); the error is
+    0 if a value of that rank equals the estimate, else its distance in ranks as a
     share of the total.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     base = rows.select(*keys, value.cast("double").alias("_value"), w.alias("_w")).where("_value is not null and not isnan(_value) and _w > 0")
-    base = base.groupBy(*keys, "_value").agg(F.sum("_w").alias("_w"))
     choice = F.array(*[F.struct(F.lit(",".join(s)).alias("grouping"), *[(F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in keys]) for s in sets])
-    spread = base.select(F.explode(choice).alias("_g"), "_value", "_w").groupBy("_g", "_value").agg(F.sum("_w").alias("_w")).select("_g.*", "_value", "_w")
+    spread = base.select(F.explode(choice).alias("_g"), "_value", "_w").select("_g.*", "_value", "_w")
     # Groups are found by 128 bits of hash, for nulls are values here; the rows of a large group are spread.
     group = [F.xxhash64("grouping", *keys).alias("_k1"), F.xxhash64(F.lit(5), "grouping", *keys).alias("_k2")]
     e = estimates.select(*group, *wanted, F.col("total").alias("_rows"))

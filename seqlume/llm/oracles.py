@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from seqlume.llm.lookalike import TABLE, by_table
 
 _P1 = """
@@ -93,6 +95,29 @@ SELECT DISTINCT doc_id, class_id, docs, texts FROM v JOIN g USING (form)
 """
 
 
+def _sets(keys: dict[str, str], sets: list[list[str]], source: str, aggregates: str) -> str:
+    """A row for each group of each set of ``keys`` (name to expression), with the set's name."""
+    parts = []
+    for chosen in sets:
+        columns = ", ".join(f"{e if k in chosen else 'NULL'} AS {k}" for k, e in keys.items())
+        parts.append(f"SELECT '{','.join(chosen)}' AS grouping, {columns}, {aggregates} FROM {source} GROUP BY ALL HAVING count(*) > 0")
+    return " UNION ALL ".join(parts)
+
+
+def _distinct_groups() -> str:
+    keys = {"day": "CAST(seen_at AS DATE)", "run_id": "run_id", "sample": "sample", "mate": "mate"}
+    sets = [list(c) for n in range(len(keys) + 1) for c in combinations(keys, n)]
+    return _sets(keys, sets, "(SELECT * FROM short_reads WHERE sequence IS NOT NULL)", "true AS within")
+
+
+def _length_groups() -> str:
+    keys = {k: k for k in ("technology", "run_id", "sample", "day")}
+    sets = [[], ["technology"], ["technology", "run_id"], ["technology", "sample"], ["technology", "day"], list(keys)]
+    rows = """(SELECT 'illumina' AS technology, run_id, sample, CAST(seen_at AS DATE) AS day, coalesce(length(sequence), 0) AS length FROM short_reads
+UNION ALL SELECT 'nanopore', run_id, sample, CAST(start_time AS DATE), coalesce(length(sequence), 0) FROM (SELECT DISTINCT ON (read_idx) * FROM long_reads))"""
+    return _sets(keys, sets, rows, "count(*) AS reads, CAST(sum(length) AS BIGINT) AS bases, true AS within")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT read_idx, span_start, span_end FROM found",
@@ -100,6 +125,8 @@ def oracle_sql() -> dict[str, str]:
 f AS (SELECT read_idx, CAST(sum(span_end - span_start) AS BIGINT) AS shared, count(*) AS spans FROM found GROUP BY 1)
 SELECT r.read_idx, r.length, coalesce(f.shared, 0) AS shared_bases, coalesce(f.spans, 0) AS spans,
   CASE WHEN r.length > 0 THEN round(coalesce(f.shared, 0) / r.length, 6) ELSE 0.0 END AS shared_fraction FROM r LEFT JOIN f USING (read_idx)""",
+        "p2_within": _distinct_groups(),
+        "p4_within": _length_groups(),
         "p5_found": _P5,
         "p5_counts": f"SELECT (SELECT count(*) FROM short_reads WHERE length(sequence) > 0) AS keys, (SELECT count(*) FROM ({_P5})) AS repeats, CAST(0 AS BIGINT) AS missed, true AS within",
         "p6_found": _frequent(0.01, "sequence"),

@@ -52,11 +52,16 @@ def _spellings(name: str) -> Column:
     return F.lower(F.trim(F.col(name)))
 
 
-def p2_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct sequences for each combination of day, run, sample and mate, beside the reported reads."""
+def _distinct_sets(spark: SparkSession, sf: str) -> tuple[list[str], list[list[str]], DataFrame]:
+    """Day, run, sample and mate, all combinations of them, and the sequences to count."""
     reads = load(spark, sf, "short_reads").select(F.to_date("seen_at").alias("day"), "run_id", "sample", "mate", F.upper("sequence").alias("value"))
     keys = ["day", "run_id", "sample", "mate"]
-    sets = [list(c) for n in range(len(keys) + 1) for c in combinations(keys, n)]
+    return keys, [list(c) for n in range(len(keys) + 1) for c in combinations(keys, n)], reads
+
+
+def p2_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct sequences for each combination of day, run, sample and mate, beside the reported reads."""
+    keys, sets, reads = _distinct_sets(spark, sf)
     counted = distinct.estimate(distinct.sketches(reads, F.col("value"), keys, sets)).drop(*distinct.FIELDS)
     last = Window.partitionBy("run_id", "sample", "mate").orderBy(F.desc("created_at"), F.desc("report_id"))
     reports = load(spark, sf, "summary").where(_spellings("technology") == "illumina").where("total_reads is not null")
@@ -69,6 +74,19 @@ def p2_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return counted.join(reported, on, "left").select(*[counted[k] for k in ["grouping", *keys]], "distinct", "error", "total_reads")
 
 
+def p2_within(spark: SparkSession, sf: str) -> DataFrame:
+    """For each group of p2_distinct whether its estimate is within five standard errors of the exact count (or 2.5 for small groups)."""
+    keys, sets, reads = _distinct_sets(spark, sf)
+    estimated = distinct.estimate(distinct.sketches(reads, F.col("value"), keys, sets))
+    choice = F.array(*[F.struct(F.lit(",".join(s)).alias("grouping"), *[(F.col(k) if k in s else F.lit(None).cast(reads.schema[k].dataType)).alias(k) for k in keys]) for s in sets])
+    # Exact to 64 bits of hash: two counts, so that copies are gone before the second shuffle.
+    once = reads.where("value is not null").select(*keys, F.xxhash64("value").alias("h")).distinct().select(F.explode(choice).alias("g"), "h").distinct()
+    exact = once.groupBy("g").agg(F.count("*").alias("exact")).select("g.*", "exact")
+    on = [estimated[k].eqNullSafe(exact[k]) for k in ["grouping", *keys]]
+    close = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(2.5), 5 * F.col("error") * F.col("exact"))
+    return exact.join(estimated, on, "left").select(*[exact[k] for k in ["grouping", *keys]], F.coalesce(close, F.lit(False)).alias("within"))
+
+
 def _lengths(spark: SparkSession, sf: str) -> DataFrame:
     """Read lengths; null and empty sequences are reads of length 0, a long read counts once."""
     short = load(spark, sf, "short_reads").select(F.lit("illumina").alias("technology"), "run_id", "sample", F.to_date("seen_at").alias("day"), F.coalesce(F.length("sequence"), F.lit(0)).alias("length"))
@@ -77,19 +95,19 @@ def _lengths(spark: SparkSession, sf: str) -> DataFrame:
     return short.unionByName(long)
 
 
-def _percentiles(rows: DataFrame, keys: list[str], sets: list[list[str]], wanted: dict[str, float], weight: Column | None = None) -> DataFrame:
-    reach = weight is not None
+def _percentiles(rows: DataFrame, keys: list[str], sets: list[list[str]], wanted: dict[str, float], weight: Column | None = None, reach: bool = False) -> DataFrame:
     found = digest.percentiles(digest.digests(rows, F.col("value"), keys, sets, weight), wanted, whole=True, reach=reach)
     return digest.certified(materialise(found, "percentiles"), rows, F.col("value"), keys, sets, wanted, weight, reach)
 
 
 def p4_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """Median, N50 and 99th percentile of read lengths, with stated and measured rank error."""
-    rows = _lengths(spark, sf).withColumnRenamed("length", "value")
     keys = ["technology", "run_id", "sample", "day"]
+    # Lengths repeat: the tables are read once, and what follows goes over counts.
+    rows = materialise(_lengths(spark, sf).groupBy(*keys, F.col("length").alias("value")).agg(F.count("*").alias("n")), "lengths")
     sets = [[], ["technology"], ["technology", "run_id"], ["technology", "sample"], ["technology", "day"], keys]
-    by_read = _percentiles(rows, keys, sets, {"median": 0.5, "p99": 0.99}).withColumnRenamed("total", "reads")
-    by_base = _percentiles(rows, keys, sets, {"n50": 0.5}, F.col("value")).withColumnRenamed("total", "bases")
+    by_read = _percentiles(rows, keys, sets, {"median": 0.5, "p99": 0.99}, F.col("n")).withColumnRenamed("total", "reads")
+    by_base = _percentiles(rows, keys, sets, {"n50": 0.5}, F.col("value") * F.col("n"), reach=True).withColumnRenamed("total", "bases")
     on = [by_read[k].eqNullSafe(by_base[k]) for k in ["grouping", *keys]]
     return by_read.join(by_base, on, "left").select(
         *[by_read[k] for k in ["grouping", *keys]], F.col("reads").cast("long").alias("reads"), F.coalesce("bases", F.lit(0.0)).cast("long").alias("bases"),
@@ -112,6 +130,13 @@ def p4_columns(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("total", F.col("total").cast("long")).withColumn("stated_error_50", F.lit(digest.rank_error(0.5)))
 
 
+def p4_within(spark: SparkSession, sf: str) -> DataFrame:
+    """For each group of p4_lengths its reads and bases, and whether every measured error is within the stated one."""
+    return p4_lengths(spark, sf).select("grouping", "technology", "run_id", "sample", "day", "reads", "bases", (
+        (F.col("median_rank_error") <= F.col("stated_error_50")) & (F.col("n50_rank_error") <= F.col("stated_error_50")) & (F.col("p99_rank_error") <= F.col("stated_error_99"))
+    ).alias("within"))
+
+
 def _seen(spark: SparkSession, sf: str) -> seen.Judged:
     upper = F.upper("sequence")
     return seen.judged(load(spark, sf, "short_reads"), upper, "read_idx", load(spark, sf, "prior_sequences"), upper)
@@ -181,5 +206,5 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_shared, p1_passages, p2_distinct, p4_lengths, p4_columns, p5_found, p5_rates, p5_disproved, p5_counts, p6_found, p6_frequent, p7_ids, p8_found, p8_reparameterised, p9_found, p9_forms, p9_classes,
+        p1_found, p1_shared, p1_passages, p2_distinct, p2_within, p4_lengths, p4_within, p4_columns, p5_found, p5_rates, p5_disproved, p5_counts, p6_found, p6_frequent, p7_ids, p8_found, p8_reparameterised, p9_found, p9_forms, p9_classes,
     )}
