@@ -112,7 +112,7 @@ def sketches(rows: DataFrame, value: Column, keys: list[str], sets: list[list[st
     like others; a group without values, so also an empty table, has no row.
     """
     hashed = rows.where(value.isNotNull()).select(*keys, F.xxhash64(value).alias("_hash"))
-    return summarise(hashed, keys, sets, ["_hash"], FIELDS, lambda h: lift(h, precision), merge)
+    return summarise(hashed, keys, sets, ["_hash"], FIELDS, lambda h: lift(h, precision), merge, lossless=True)
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,6 +52,7 @@ class Vocabulary:
             pairs = [line.split() for line in lines if line.strip()]
         self.ids = {base64.b64decode(token).decode("latin-1"): int(rank) for token, rank in pairs}
         self.text = {rank: token for token, rank in self.ids.items()}
+        self.most = max(map(len, self.ids), default=0)  # no token is longer
         self.trie = ahocorasick.Automaton()
         for token, rank in self.ids.items():
             self.trie.add_word(token, rank)
@@ -134,7 +135,7 @@ class Vocabulary:
             if token is not None:
                 found.append(token)
                 at = end
-                nearest = self._longest(raw[at:at + 256], size - at)
+                nearest = self._longest(raw[at : at + self.most], size - at)
             else:
                 dead[at] = 1
                 token = found.pop()

@@ -58,14 +58,17 @@ def _merged(table: pa.Table, keys: list[str], fields: dict[str, str], merge: Mer
 
 
 def summarise(
-    rows: DataFrame, keys: list[str], sets: list[list[str]], values: list[str], fields: dict[str, str], lift: Callable[..., dict[str, np.ndarray]], merge: Merge
+    rows: DataFrame, keys: list[str], sets: list[list[str]], values: list[str], fields: dict[str, str], lift: Callable[..., dict[str, np.ndarray]], merge: Merge, lossless: bool = False
 ) -> DataFrame:
     """A summary for each group of each set of columns.
 
     ``keys`` are the columns sets are made of, ``values`` those ``lift`` turns into
     one item a row.  The result has ``grouping`` (the names of the set, joined by
-    commas), ``keys`` (null where the set has not the column) and the ``fields``.
+    commas), ``keys`` (null where the set has not the column) and the ``fields``.  If
+    merging is ``lossless``, a set's summaries are merged from those of the smallest
+    set that contains it, and only the finest are lifted from rows.
     """
+    order = sorted(sets, key=len, reverse=True) if lossless else sets
     kinds = {k: rows.schema[k].dataType.simpleString() for k in keys}
     types = {f: f"array<{t}>" for f, t in fields.items()}
     schema = ", ".join(f"`{n}` {t}" for n, t in ({"grouping": "string"} | kinds | types).items())
@@ -82,10 +85,15 @@ def summarise(
             items = lift(*[_single(table.column(v)) for v in values])
             one = pa.array(np.arange(n + 1, dtype=np.int32))
             lists = [pa.ListArray.from_arrays(one, pa.array(items[f], _ARROW[t])) for f, t in fields.items()]
-            for chosen in sets:
-                columns = [pa.array([",".join(chosen)]).take(pa.array(np.zeros(n, np.int32)))]
-                columns += [table.column(k) if k in chosen else pa.nulls(n, table.column(k).type) for k in keys]
-                held.append(_merged(pa.table([*columns, *lists], names=[*names, *fields]), names, fields, merge))
+            base = pa.table([*(table.column(k) for k in keys), *lists], names=[*keys, *fields])
+            made: list[tuple[set[str], pa.Table]] = []
+            for chosen in order:
+                source = min((t for have, t in made if have >= set(chosen)), key=len, default=base) if lossless else base
+                size = source.num_rows
+                columns = [pa.array([",".join(chosen)]).take(pa.array(np.zeros(size, np.int32)))]
+                columns += [source.column(k) if k in chosen else pa.nulls(size, source.column(k).type) for k in keys]
+                held.append(_merged(pa.table([*columns, *(source.column(f) for f in fields)], names=[*names, *fields]), names, fields, merge))
+                made.append((set(chosen), held[-1]))
                 count += held[-1].num_rows * 4
             if count > HELD_ITEMS:
                 whole = _merged(pa.concat_tables(held), names, fields, merge)
@@ -122,8 +130,24 @@ def merge_summaries(parts: DataFrame, keys: list[str], fields: dict[str, str], m
     schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items())
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            yield from _merged(pa.Table.from_batches(held), keys, fields, merge).to_batches(max_chunksize=50_000)
-
-    return parts.select(*keys, *fields).repartition(*keys).mapInArrow(final, schema)
+        # Groups come one after the other: what is merged but for the last group is done.
+        held, items = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            items += sum(len(_single(batch.column(f)).flatten()) for f in fields)
+            if items > HELD_ITEMS:
+                held = _merged(held, [tag, *keys], fields, merge)
+                last = held.column(tag)[held.num_rows - 1]
+                done = held.filter(pc.not_equal(held.column(tag), last))
+                held = held.filter(pc.equal(held.column(tag), last))
+                yield from done.drop_columns([tag]).to_batches(max_chunksize=50_000)
+                items = sum(len(_single(held.column(f)).flatten()) for f in fields)
+        if held is not None:
+            yield from _merged(held, [tag, *keys], fields, merge).drop_columns([tag]).to_batches(max_chunksize=50_000)
+
+    tag = "_group"  # groups in order, nulls included
+    tagged = parts.select(F.xxhash64(*keys).alias(tag) if keys else F.lit(0).cast("long").alias(tag), *keys, *fields)
+    return tagged.repartition(*(keys or [tag])).sortWithinPartitions(tag).mapInArrow(final, schema)

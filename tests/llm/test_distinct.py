@@ -70,3 +70,17 @@ def test_partials_leave_a_full_worker(spark, monkeypatch):
     monkeypatch.setattr(grouped, "HELD_ITEMS", 100)
     for r in distinct.estimate(distinct.sketches(df, F.col("v"), ["g"], [["g"], []])).collect():
         assert abs(r.distinct - (30_000 if r.g is None else 6_000)) < 1_000
+
+
+def test_parts_are_merged_group_by_group(spark, monkeypatch):
+    from seqlume.llm import grouped
+
+    monkeypatch.setattr(grouped, "HELD_ITEMS", 50)
+    rows = spark.range(3000).select((F.col("id") % 40).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("h"), F.col("id").cast("string").alias("v"), F.col("id").alias("part"))
+    parts = None
+    for i in range(3):
+        one = distinct.sketches(rows.where(f"part % 3 = {i}"), F.col("v"), ["g", "h"], [["g", "h"]])
+        parts = one if parts is None else parts.unionByName(one)
+    whole = {(r.g, r.h): (sorted(zip(r.registers, r.states))) for r in distinct.sketches(rows, F.col("v"), ["g", "h"], [["g", "h"]]).collect()}
+    got = distinct.merged(parts, ["g", "h"]).collect()
+    assert len(got) == len(whole) and {(r.g, r.h): sorted(zip(r.registers, r.states)) for r in got} == whole

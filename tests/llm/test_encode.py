@@ -65,3 +65,18 @@ def test_rows(spark, both, monkeypatch):
     got = encode.encode(df, encode.default_vocabulary()).collect()
     assert [(r.doc_id, r.ids[:5]) for r in got] == [(i, ids(both[1], t or "")[:5]) for i, t, _ in rows] and len(got[5].ids) == len(ids(both[1], rows[5][1]))
     assert encode.encode(df.where("false"), encode.default_vocabulary()).count() == 0
+
+
+def test_tokens_longer_than_any_window(tmp_path):
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)]
+    half = b"a"
+    while len(half) < 1024:  # aa, aaaa, ... up to 1,024 bytes
+        half += half
+        tokens.append(half)
+    path = tmp_path / "long.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    vocabulary = encode.Vocabulary(str(path))
+    ids = vocabulary.encode("a" * 1536)
+    assert ids == [265, 264] and vocabulary.encode("a" * 1025) == [265, 97]

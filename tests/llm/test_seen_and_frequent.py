@@ -154,3 +154,10 @@ def test_keys_that_share_a_hash(spark, monkeypatch):
     rows, prior = data(4, 600)
     got, errors = run(spark, rows, prior)
     assert got == brute(rows, prior) and errors.disproved > 0
+
+
+def test_buckets_follow_the_share(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") < 20, "often").otherwise(F.concat(F.lit("k"), "id")).alias("value"))
+    assert [tuple(r)[:2] for r in frequent.iceberg(df, F.col("value"), 0.00005).collect()] == [("often", 20)]
+    with pytest.raises(ValueError, match="at least"):
+        frequent.iceberg(df, F.col("value"), 1e-9)
