@@ -39,6 +39,19 @@ m AS (SELECT mate, CAST(unnest(range(0, {top + 1})) AS INT) AS v FROM (SELECT DI
 SELECT m.mate, m.v AS {name}, coalesce(c.n, 0) AS n FROM m LEFT JOIN c ON c.mate = m.mate AND c.v = m.v"""
 
 
+def _parity() -> str:
+    """Mean scores from doubles added up in four lanes: sums in a fixed order are folds over lists."""
+    rates = "[" + ",".join(repr(10 ** (-q / 10)) + "::DOUBLE" for q in range(94)) + "]"
+    fold = "list_reduce({0}, lambda a, b: a + b)".format
+    lanes = " + ".join(fold(f"w[{i + 1}:whole:4]") for i in range(4))
+    return f"""WITH {_SHORT}, o AS (SELECT mate, {rates} AS t, q, length(q) AS len, greatest(length(q) - 1, 0) // 4 * 4 AS whole FROM r WHERE length(q) > 0),
+x AS (SELECT mate, len, whole, list_transform(range(1, len + 1), lambda i: t[ord(substr(q, CAST(i AS INT), 1)) - 32]) AS w FROM o),
+y AS (SELECT mate, len, {fold("list_prepend(CASE WHEN whole > 0 THEN " + lanes + " ELSE 0 END, w[whole + 1:])")} AS total FROM x),
+c AS (SELECT mate, CAST(floor(-10 * log10(total / len)) AS INT) AS v, count(*) AS n FROM y GROUP BY ALL),
+m AS (SELECT mate, CAST(unnest(range(0, 94)) AS INT) AS v FROM (SELECT DISTINCT mate FROM r))
+SELECT m.mate, m.v AS phred, coalesce(c.n, 0) AS n FROM m LEFT JOIN c ON c.mate = m.mate AND c.v = m.v"""
+
+
 _GC = _histogram(_BUCKET, "gc", 100)
 
 
@@ -177,6 +190,7 @@ def oracle_sql() -> dict[str, str]:
         "gc_hist": _GC,
         "gc_smooth": f"SELECT mate, gc // 2 AS slot, CAST(sum(n) AS BIGINT) AS n FROM ({_GC}) GROUP BY ALL",
         "mean_phred_hist": _histogram("phred", "phred", 93),
+        "mean_phred_parity": _parity(),
         "q_thresholds": start + _FACTS + " " + " UNION ALL ".join(f'SELECT mate, {q} AS "limit", count(*) FILTER (WHERE phred >= {q}) AS n, round(count(*) FILTER (WHERE phred >= {q}) / greatest(count(phred), 1), 6) AS fraction FROM f GROUP BY mate' for q in LIMITS),
         "summary": _summary("run_id, sample, mate", ""),
         "summary_cube": start + _FACTS + " SELECT sample, mate, count(*) AS total_reads, CAST(sum(length) AS BIGINT) AS total_bases, CAST(max(length) AS INT) AS maximum_length, CAST(grouping(sample, mate) AS BIGINT) AS level FROM f GROUP BY CUBE (sample, mate)",
