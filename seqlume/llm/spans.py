@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ GAP_COST = 0.2
 BROADCAST_SEEDS = 1_000_000
 #: Bases handled at a time by a worker; longer sequences are cut with overlap.
 CHUNK = 2_000_000
+#: Bits a base of the map that tells which seeds may occur twice, and bits of a piece of it (as a power of two).
+MAP_BITS, PIECE_BITS = 64, 22
 _PLACE = np.uint64((1 << 24) - 1)
 
 _CODE = np.full(256, 4, np.uint8)
@@ -381,39 +384,146 @@ def passages(records: DataFrame, chained: DataFrame, id_col: str = "record", seq
     )
 
 
-def _places(texts: DataFrame) -> DataFrame:
-    """``seed``, a 64-bit hash of the ``STRETCH`` bases, ``text`` and ``at`` for every place of ``text`` and its ``sequence`` where all are A, C, G or T."""
+def _seeds_at(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place of the ``STRETCH`` bases at every place of (text, offset, bases) where all are A, C, G or T."""
+    code = _CODE[np.frombuffer(b"-".join(p for _, _, p in pieces) + b"-" * STRETCH, np.uint8)]
+    begin = np.cumsum([0] + [len(p) + 1 for _, _, p in pieces[:-1]])
+    bad = np.concatenate([[0], np.cumsum(code > 3, dtype=np.int32)])
+    place = np.flatnonzero(bad[STRETCH:] == bad[:-STRETCH])
+    kmer = _packed(code & 3, SEED)
+    seed = _hash(kmer[place])
+    if STRETCH > SEED:
+        with np.errstate(over="ignore"):
+            seed = _hash(seed * np.uint64(3) + kmer[place + STRETCH - SEED])
+    owner = np.searchsorted(begin, place, "right") - 1
+    text, offset = np.array([t for t, _, _ in pieces], np.int64), np.array([o for _, o, _ in pieces], np.int64)
+    return seed, text[owner], (place - begin[owner] + offset[owner]).astype(np.int32)
+
+
+def _cut(text: int, sequence: str) -> Iterator[tuple[int, int, bytes]]:
+    """A sequence in pieces of ``CHUNK`` places."""
+    raw = sequence.encode("ascii", "replace")
+    for offset in range(0, max(1, len(raw) - STRETCH + 1), CHUNK):
+        yield text, offset, raw[offset : offset + CHUNK + STRETCH - 1]
+
+
+def _pack(values: np.ndarray) -> tuple[int, bytes]:
+    """Sorted numbers as compressed differences, and the bytes of each before compression."""
+    steps = np.diff(values, prepend=0).astype("<u4")
+    width = 1 + int(np.searchsorted([1 << 8, 1 << 16, 1 << 24], steps.max(), "right"))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4)[:, :width].T)  # bytes of one rank together
+    return width, pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(n: int, width: int, packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    steps = np.zeros((n, 4), np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(steps.view("<u4").ravel().astype(np.int64))
+
+
+def repeated_places(texts: DataFrame) -> DataFrame:
+    """``seed``, ``text`` and ``at`` of every place whose ``STRETCH`` bases occur at another place too, and of a few others.
+
+    ``texts`` has ``text``, ``sequence`` and ``chunk``, which tells the texts of some
+    ``CHUNK`` bases.  Seeds are marks in a map of ``MAP_BITS`` a base, cut into pieces.
+    A chunk sends its marks to the pieces as compressed differences, some 1.5 bytes
+    a base; a piece answers each chunk which of them were marked twice; and only
+    places of such marks become rows.  About one in ``MAP_BITS`` of the others does.
+    """
+    bases = texts.agg(F.sum(F.length("sequence"))).first()[0] or 0
+    pieces = max(1, -(-bases * MAP_BITS >> PIECE_BITS))
+    size = np.uint64(pieces << PIECE_BITS)
+
+    def marks(seed: np.ndarray) -> np.ndarray:
+        return (seed % size).view(np.int64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        own, count = None, 0
+
+        def out(chunk: int) -> pa.RecordBatch:
+            found = np.sort(marks(_seeds_at(held)[0]))
+            third = np.concatenate([np.zeros(2, bool), found[2:] == found[:-2]])[: len(found)] if len(found) > 2 else np.zeros(len(found), bool)
+            found = found[~third]  # twice is enough
+            cuts = np.flatnonzero(np.diff(found >> PIECE_BITS, prepend=-1))
+            rows = []
+            for a, b in zip(cuts, np.append(cuts[1:], len(found)), strict=True):
+                width, packed = _pack(found[a:b] & ((1 << PIECE_BITS) - 1))
+                rows.append((int(found[a] >> PIECE_BITS), chunk, int(b - a), width, packed))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["piece", "chunk", "n", "width", "packed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces: list[tuple[int, int, bytes]] = []
-            size = 0
-            for text, sequence in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = sequence.encode("ascii", "replace")
-                for offset in range(0, max(1, len(raw) - STRETCH + 1), CHUNK):
-                    pieces.append((text, offset, raw[offset : offset + CHUNK + STRETCH - 1]))
-                    size += len(pieces[-1][2]) + 1
-                    if size > CHUNK:
-                        yield pack(pieces)
-                        pieces, size = [], 0
-            if pieces:
-                yield pack(pieces)
+            for chunk, text, sequence in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for piece in _cut(text, sequence):
+                    if held and (chunk != own or count + len(piece[2]) > 2 * CHUNK):
+                        yield out(own)
+                        held, count = [], 0
+                    held.append(piece)
+                    own, count = chunk, count + len(piece[2])
+        if held:
+            yield out(own)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, int, bytes]] = []
+
+        def out() -> pa.RecordBatch:
+            found = [_unpack(n, width, packed) for _, _, n, width, packed in held]
+            twice = np.bincount(np.concatenate(found), minlength=1 << PIECE_BITS) > 1
+            rows = []
+            for (piece, chunk, *_), own in zip(held, found, strict=True):
+                kept = np.unique(own[twice[own]])
+                if len(kept):
+                    rows.append((chunk, piece, len(kept), *_pack(kept)))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["chunk", "piece", "n", "width", "packed"])
 
-    def pack(pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        code = _CODE[np.frombuffer(b"-".join(p for _, _, p in pieces) + b"-" * STRETCH, np.uint8)]
-        begin = np.cumsum([0] + [len(p) + 1 for _, _, p in pieces[:-1]])
-        bad = np.concatenate([[0], np.cumsum(code > 3, dtype=np.int32)])
-        place = np.flatnonzero(bad[STRETCH:] == bad[:-STRETCH])
-        kmer = _packed(code & 3, SEED)
-        seed = _hash(kmer[place])
-        if STRETCH > SEED:
-            with np.errstate(over="ignore"):
-                seed = _hash(seed * np.uint64(3) + kmer[place + STRETCH - SEED])
-        owner = np.searchsorted(begin, place, "right") - 1
-        text, offset = np.array([t for t, _, _ in pieces], np.int64), np.array([o for _, o, _ in pieces], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(text[owner]), pa.array((place - begin[owner] + offset[owner]).astype(np.int32))], names=["seed", "text", "at"])
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield out()
+                    held = []
+                held.append(row)
+        if held:
+            yield out()
 
-    return texts.select("text", "sequence").mapInArrow(run, "seed long, text long, at int")
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, answers, wanted, held, count = None, [], None, [], 0
+
+        def out() -> pa.RecordBatch:
+            seed, text, at = _seeds_at(held)
+            mark = marks(seed)
+            keep = wanted[np.minimum(np.searchsorted(wanted, mark), len(wanted) - 1)] == mark
+            return pa.RecordBatch.from_arrays([pa.array(seed[keep].view(np.int64)), pa.array(text[keep]), pa.array(at[keep])], names=["seed", "text", "at"])
+
+        for batch in batches:
+            for chunk, piece, n, width, packed, text, sequence in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if chunk != own:
+                    if held:
+                        yield out()
+                    own, answers, wanted, held, count = chunk, [], None, [], 0
+                if text is None:
+                    answers.append((np.int64(piece) << PIECE_BITS) | _unpack(n, width, packed))
+                    continue
+                if wanted is None:
+                    wanted = np.unique(np.concatenate(answers)) if answers else np.empty(0, np.int64)
+                for part in _cut(text, sequence) if len(wanted) else ():
+                    if held and count + len(part[2]) > CHUNK:
+                        yield out()
+                        held, count = [], 0
+                    held.append(part)
+                    count += len(part[2])
+        if held:
+            yield out()
+
+    blob = "n int, width int, packed binary"
+    sent = texts.select("chunk", "text", "sequence").mapInArrow(send, f"piece int, chunk long, {blob}")
+    answered = sent.repartition("piece").sortWithinPartitions("piece").mapInArrow(answer, f"chunk long, piece int, {blob}")
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("text", "long"), ("sequence", "string"))]
+    asked = texts.select("chunk", F.lit(None).cast("int").alias("piece"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("binary").alias("packed"), "text", "sequence")
+    both = answered.select("*", *none).unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", F.col("text").asc_nulls_first())
+    return both.mapInArrow(places, "seed long, text long, at int")
 
 
 def _clusters(texts: DataFrame, kept: DataFrame) -> DataFrame:
@@ -445,13 +555,28 @@ def _clusters(texts: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _numbered(texts: DataFrame, label: str) -> DataFrame:
-    """Written with a number in ``text``, which is fixed by the files."""
-    return materialise(materialise(texts, label).withColumn("text", F.monotonically_increasing_id()), label)
+    """Written with a number in ``text``, fixed by the files, and that of its ``chunk`` of some ``CHUNK`` bases."""
+    texts = materialise(texts, label).withColumn("text", F.monotonically_increasing_id())
+    names = texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, bases = None, 0
+        for batch in batches:
+            chunks = []
+            for text, size in zip(batch.column(names.index("text")).to_pylist(), pc.binary_length(batch.column(names.index("sequence"))).to_pylist(), strict=True):
+                if chunk is None or bases + size > CHUNK:
+                    chunk, bases = text, 0
+                bases += size
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int64())], names=[*names, "chunk"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields)
+    return materialise(texts.mapInArrow(run, f"{schema}, chunk long"), label)
 
 
 def _paired(classes: DataFrame) -> DataFrame:
     """Every two different texts that share a seed, smaller number first: ``record``, ``at``, ``partner`` and ``there``."""
-    places = materialise(_places(classes), "places")
+    places = materialise(repeated_places(classes), "places")
     shared = places.groupBy("seed").agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.count_distinct("text").alias("texts"), F.count("*").alias("rows")).where("lo != hi")
     kept = lookup(places, materialise(shared.select("seed", "texts", "rows"), "shared"), ["seed"], weight="rows")
     # Texts of a hot seed are dealt out to blocks, and each block meets every other.
@@ -475,7 +600,7 @@ def fuzzy_passages(records: DataFrame, id_col: str = "record", seq_col: str = "s
     held = records.where(F.col(id_col).isNotNull() & F.col(seq_col).isNotNull()).select(F.col(id_col).cast("long").alias("record"), F.upper(seq_col).alias("sequence")).distinct()
     held = held.where(F.col("sequence").rlike(f"[ACGT]{{{STRETCH}}}"))
     texts = _numbered(held.groupBy("sequence").agg(F.min("record").alias("lo"), F.max("record").alias("hi")), "texts")
-    places = _places(texts)
+    places = materialise(repeated_places(texts), "places")
     # Seeds that only repeat within a text stay in; they make a part longer, and no pair.
     shared = places.groupBy("seed").agg(F.count("*").alias("rows")).where("rows > 1")
     kept = lookup(places, materialise(shared, "seeds"), ["seed"], weight="rows", broadcast_rows=BROADCAST_SEEDS).select("text", "at")

@@ -159,3 +159,31 @@ def test_fuzzy_passages_without_a_whole_window(spark, stretch):
     assert (got[1, 2].segments, got[1, 2].exact, got[1, 2].edits) == (6, 6 * stretch, 5)
     assert (got[2, 1].start, got[2, 1].end) == (0, 6 * stretch + 5)
     assert (3, 2) in got and (3, 1) in got
+
+
+@pytest.mark.parametrize("chunk,bits", [(300, 22), (10**6, 22), (2000, 12)])
+def test_repeated_places_are_all_found(spark, monkeypatch, chunk, bits):
+    monkeypatch.setattr(spans, "CHUNK", chunk)
+    monkeypatch.setattr(spans, "PIECE_BITS", bits)
+    rnd = random.Random(12)
+    hot, parts = text(rnd, 30), [text(rnd, 25) for _ in range(5)]
+    sequences = [text(rnd, rnd.randint(20, 200)) + (hot if i % 3 == 0 else rnd.choice(parts)) + "N" + text(rnd, rnd.randint(0, 60)) for i in range(80)] + ["A" * 90, "N" * 30, hot, text(rnd, 5000) + hot]
+    texts = spans._numbered(spark.createDataFrame([(s,) for s in sequences], "sequence string").repartition(3), "texts")
+    where = {}
+    for r in texts.collect():
+        for i in range(len(r.sequence) - 19):
+            if re.fullmatch("[ACGT]+", r.sequence[i : i + 20]):
+                where.setdefault(r.sequence[i : i + 20], []).append((r.text, i))
+    want = {p for places in where.values() if len(places) > 1 for p in places}
+    rows = spans.repeated_places(texts).collect()
+    got = {(r.text, r["at"]) for r in rows}
+    assert len(rows) == len(got) and want <= got and len(got - want) < 0.05 * sum(map(len, where.values()))
+    assert spans.repeated_places(texts.where("false")).count() == 0
+
+
+def test_numbers_packed():
+    rnd = random.Random(13)
+    for top in (1, 200, 70_000, 1 << 22):
+        values = np.sort(np.array([rnd.randrange(top) for _ in range(500)], np.int64))
+        width, packed = spans._pack(values)
+        assert (spans._unpack(500, width, packed) == values).all()
