@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from seqlume.operators.identify import sequence_identity
 from seqlume.operators.pairs import insert_size
@@ -21,19 +18,14 @@ _INLINE = {
 }
 
 
-class _Fragments:
-    def eval(self, sequence: str, k: int, from_start: int, from_end: int) -> Iterator[tuple[int, str]]:
-        if sequence is None or len(sequence) < k:
-            return
-        text = "".join(c if c in "ACGT" else "N" for c in sequence.upper())
-        most = -(-len(text) // k)
-        half = most // 2
-        front = min(-(-from_start // k), most - half) if from_start >= 0 else most - half
-        back = min(-(-from_end // k), half) if from_end >= 0 else half
-        for at in [i * k for i in range(front)] + [len(text) - (back - i) * k for i in range(back)]:
-            piece = text[at : at + k]
-            if "N" not in piece:
-                yield at, min(piece, piece[::-1].translate(str.maketrans("ACGT", "TGCA")))
+#: Where fragments begin, and the table of them: plain SQL as well, so a call is planned as a projection and an explode.
+_PLACES = """fragment_places(n INT, k INT, from_start INT, from_end INT) RETURNS ARRAY<INT> RETURN
+CASE WHEN n >= k THEN filter(concat(
+    transform(sequence(0, n div k), i -> CASE WHEN i < (CASE WHEN from_start < 0 THEN n ELSE ceil(from_start / k) END) AND i < ceil(n / k) - floor(ceil(n / k) / 2) THEN int(i * k) END),
+    transform(reverse(sequence(0, n div k)), i -> CASE WHEN i < (CASE WHEN from_end < 0 THEN n ELSE ceil(from_end / k) END) AND i < floor(ceil(n / k) / 2) THEN int(n - (i + 1) * k) END)
+), p -> p IS NOT NULL) ELSE CAST(array() AS ARRAY<INT>) END"""
+_FRAGMENTS = """fragments(s STRING, k INT, from_start INT, from_end INT) RETURNS TABLE(at INT, fragment STRING) RETURN
+SELECT at, seq_canonical(substr(s, at + 1, k)) FROM (SELECT explode(places) AS at FROM (SELECT fragment_places(length(s), k, from_start, from_end) AS places)) WHERE upper(substr(s, at + 1, k)) NOT RLIKE '[^ACGT]'"""
 
 
 def register(spark: SparkSession) -> None:
@@ -43,4 +35,5 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("seq_identity", sequence_identity)
     spark.udf.register("insert_size", insert_size)
     spark.udf.register("read_scores", scores)
-    spark.udtf.register("fragments", F.udtf(_Fragments, returnType="at int, fragment string"))
+    for body in (_PLACES, _FRAGMENTS):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {body}")

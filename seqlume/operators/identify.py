@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from seqlume.functions.columns import canonical, norm, reverse_complement
 from seqlume.plans.arrow import text_bytes
+from seqlume.plans.scratch import materialise
 
 K = 13
 LONGEST_QUERY = 31
@@ -90,11 +91,13 @@ def identified(queries: DataFrame, library: DataFrame, k: int = K, query_col: st
     left = queries.select(F.col(query_col).alias("query")).where("query is not null").distinct()
     done = None
     for size in (k, k - 2, k - 4):
-        pairs = kmer_matches(left, library, size).join(texts, "name")
+        open_ = left if done is None else left.join(done, "query", "left_anti")
+        pairs = kmer_matches(open_, library, size).join(texts, "name")
         s = norm(F.col("query"))
         identity = F.greatest(sequence_identity("target", s), sequence_identity("target", reverse_complement(s)))
         order = Window.partitionBy("query").orderBy(F.desc("identity"), F.desc("n"), F.length("target"), F.desc("name"))
         best = pairs.withColumn("identity", identity).where("identity > 0").withColumn("_r", F.row_number().over(order)).where("_r = 1").select("query", "name", "identity")
-        done = best if done is None else done.unionByName(best.join(done, "query", "left_anti"))
+        best = materialise(best, "identified")
+        done = best if done is None else done.unionByName(best)
     n = F.length("query")
     return left.join(done, "query", "left").select("query", F.coalesce(F.bround(F.col("identity") * n), F.lit(0)).cast("int").alias("matches"), n.alias("length"), F.coalesce("name", F.lit("No match")).alias("name"))
