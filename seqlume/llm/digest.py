@@ -20,17 +20,21 @@ from seqlume.plans.skew import lookup
 
 #: Twice the largest number of centroids of a digest.
 SIZE = 500
+#: Levels of merging a digest goes through: a batch, a worker, a salt, a group.  Stored parts add one.
+LEVELS = 4
 #: Items: a centroid, its weight, and whether it stands for different values (1) or one (0).
 FIELDS = {"means": "double", "weights": "double", "mixed": "int"}
 
 
-def rank_error(q: float, size: int = SIZE) -> float:
+def rank_error(q: float, size: int = SIZE, levels: int = LEVELS) -> float:
     """Stated bound on the rank error at ``q``, as a share of all values.
 
-    A cluster spans at most one step of k, or two after merges, since what it is
-    made of is counted by its middle; an estimate lies within one cluster's width.
+    Clustering single values, a cluster spans at most one step of k.  What is
+    merged is counted by its middle, so half of the first and half of the last
+    part may lie outside: each level of merging adds a step at most.  An estimate
+    lies within one cluster's width.
     """
-    return 2 * 2 * math.pi / size * math.sqrt(q * (1 - q))
+    return levels * 2 * math.pi / size * math.sqrt(q * (1 - q))
 
 
 def merge(group: np.ndarray, items: dict[str, np.ndarray], size: int = SIZE) -> tuple[np.ndarray, dict[str, np.ndarray]]:

@@ -259,10 +259,10 @@ def _by_group(rows: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count = 0
+        count, limit = 0, 200_000
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, count
+            nonlocal held, count, limit
             table = pa.Table.from_batches(held).combine_chunks()
             key = table.column(0).to_numpy()
             cut = len(key) if last else int(np.searchsorted(key, key[-1]))
@@ -271,13 +271,14 @@ def _by_group(rows: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], na
                 if found is not None:
                     yield found
             rest = table.slice(cut)
-            held, count = (rest.to_batches() if len(rest) else []), 0
+            held, count = (rest.to_batches() if len(rest) else []), len(rest)
+            limit = max(200_000, 2 * count)  # a group that is longer is put together a few times only
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 count += batch.num_rows
-            if count > 200_000:
+            if count > limit:
                 yield from flush(False)
         if held:
             yield from flush(True)
@@ -285,11 +286,12 @@ def _by_group(rows: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], na
     return run
 
 
-def chains(linked: DataFrame, gap_cost: float = GAP_COST, span: int = SPAN, keys: tuple[str, ...] = ("record",)) -> DataFrame:
+def chains(linked: DataFrame, gap_cost: float = GAP_COST, span: int = SPAN, keys: tuple[str, ...] = ("record", "partner")) -> DataFrame:
     """Chained segments: ``record``, ``partner``, ``chain``, ``start``, ``end``, ``there`` and ``there_end``.
 
     Windows of ``span`` bases that follow each other in both records make one segment.
-    Rows are dealt out by ``keys``, which every pair has in common.
+    Rows are dealt out by ``keys``, which every pair has in common, so a record that
+    shares with many others is spread.
     """
 
     def rows(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
@@ -607,7 +609,7 @@ def fuzzy_passages(records: DataFrame, id_col: str = "record", seq_col: str = "s
     parts = materialise(_clusters(texts, kept).join(texts.select("text", "lo", "hi"), "text"), "parts")
     classes = _numbered(parts.groupBy("sequence").agg(F.min(F.struct(F.col("lo").alias("record"), "start")).alias("lo"), F.max(F.struct(F.col("hi").alias("record"), "start")).alias("hi")), "classes")
 
-    chained = materialise(chains(_paired(classes), span=STRETCH, keys=("record", "partner")), "chains")
+    chained = materialise(chains(_paired(classes), span=STRETCH), "chains")
     found = passages(classes, chained, "text")
     a, b = (classes.select(F.col("text").alias(k), F.col("lo").alias(f"{k}_lo"), F.col("hi").alias(f"{k}_hi")) for k in ("record", "partner"))
     here = F.when(F.col("record_lo.record") != F.col("partner_lo.record"), F.struct(F.col("record_lo").alias("a"), F.col("partner_lo").alias("b"))).when(
