@@ -77,14 +77,17 @@ def p2_distinct(spark: SparkSession, sf: str) -> DataFrame:
 def p2_within(spark: SparkSession, sf: str) -> DataFrame:
     """For each group of p2_distinct whether its estimate is within five standard errors of the exact count (or 2.5 for small groups)."""
     keys, sets, reads = _distinct_sets(spark, sf)
-    estimated = distinct.estimate(distinct.sketches(reads, F.col("value"), keys, sets))
-    choice = F.array(*[F.struct(F.lit(",".join(s)).alias("grouping"), *[(F.col(k) if k in s else F.lit(None).cast(reads.schema[k].dataType)).alias(k) for k in keys]) for s in sets])
-    # Exact to 64 bits of hash: two counts, so that copies are gone before the second shuffle.
-    once = reads.where("value is not null").select(*keys, F.xxhash64("value").alias("h")).distinct().select(F.explode(choice).alias("g"), "h").distinct()
-    exact = once.groupBy("g").agg(F.count("*").alias("exact")).select("g.*", "exact")
-    on = [estimated[k].eqNullSafe(exact[k]) for k in ["grouping", *keys]]
+    estimated = distinct.estimate(distinct.sketches(reads, F.col("value"), keys, sets)).drop(*distinct.FIELDS)
+
+    def name(grouping: Column, chosen: list[str]) -> Column:
+        """A hash of a group, nulls told apart; columns that a set has not are null."""
+        return F.xxhash64(grouping, *[F.coalesce((F.col(k) if k in chosen else F.lit(None)).cast("string"), F.lit("\0")) for k in keys])
+
+    # Exact to 64 bits of hash: what shuffles is two numbers for each set a row is in, copies of a task left out.
+    names = F.array(*[name(F.lit(",".join(s)), s) for s in sets])
+    exact = reads.where("value is not null").select(F.explode(names).alias("g"), F.xxhash64("value").alias("h")).distinct().groupBy("g").agg(F.count("*").alias("exact"))
     close = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(2.5), 5 * F.col("error") * F.col("exact"))
-    return exact.join(estimated, on, "left").select(*[exact[k] for k in ["grouping", *keys]], F.coalesce(close, F.lit(False)).alias("within"))
+    return exact.join(estimated.withColumn("g", name(F.col("grouping"), keys)), "g", "left").select("grouping", *keys, F.coalesce(close, F.lit(False)).alias("within"))
 
 
 def _lengths(spark: SparkSession, sf: str) -> DataFrame:
